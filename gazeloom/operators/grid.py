@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazeloom.operators.ordered import clean_number, with_next
+from gazeloom.operators.ordered import clean_number, known, with_next
 
 CHUNK = 4096
 """Cells of a source that one window holds; a task never holds more of a source than their readings."""
@@ -48,9 +48,9 @@ def regular_grid(
     readings = readings.select(
         *keys, F.col(time).cast("double").alias("_t"), *[clean_number(F.col(v).cast("double")).alias(n) for v, n in zip(values, names)]
     )
-    readings = readings.dropna(subset=[*keys, "_t", *names]).where(F.abs("_t") < float("inf"))
+    readings = known(readings, [*keys, "_t", *names]).where(F.abs("_t") < float("inf"))
     readings = readings.withColumn("_slot", F.floor(F.col("_t") * per_unit)).withColumn("_chunk", F.floor(F.col("_slot") / CHUNK))
-    readings = readings.repartition(*keys, "_chunk").dropDuplicates([*keys, "_chunk", "_slot", "_t", *names])
+    readings = known(readings, ["_chunk"]).repartition(*keys, "_chunk").distinct()
     spans = with_next(readings, keys, "_chunk", ["_t", *names], ["_t", "_slot", *names], "_next")
     return _cells(spans, keys, values, names, per_unit, counter)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gazeloom.operators.ordered import prefix_sums, with_next
+from gazeloom.operators.ordered import known, prefix_sums, with_next
 
 CHUNK_S = 600
 """Seconds of an entity that one window holds."""
@@ -28,11 +28,11 @@ def covered_periods(df: DataFrame, keys: list[str], ident: str, start_us: str, e
     holds an entity as a whole.
     """
     intervals = df.select(*keys, F.col(ident).alias("_id"), F.col(start_us).alias("_start"), F.col(end_us).alias("_end"))
-    intervals = intervals.dropna(subset=[*keys, "_start", "_end"]).where("_start <= _end").dropDuplicates()
+    intervals = known(intervals, [*keys, "_start", "_end"]).where("_start <= _end").dropDuplicates()
     sides = F.array(F.struct(F.col("_start").alias("t"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("_end").alias("t"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     boundaries = intervals.select(*keys, F.inline(sides)).withColumn("_chunk", F.floor(F.col("t") / (CHUNK_S * 1_000_000)))
     boundaries = boundaries.groupBy(*keys, "_chunk", "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    boundaries = boundaries.repartition(*keys, "_chunk")
+    boundaries = known(boundaries, ["_chunk"]).repartition(*keys, "_chunk")
     earlier = prefix_sums(boundaries, keys, "_chunk", {"_up": F.col("up"), "_down": F.col("down")})
     inside = W.partitionBy(*keys, "_chunk").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     counts = boundaries.join(earlier, [*keys, "_chunk"]).select(

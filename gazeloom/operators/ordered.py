@@ -69,3 +69,14 @@ def clean_number(column: Column | str) -> Column:
     """The column with NaN as null."""
     column = F.col(column) if isinstance(column, str) else column
     return F.when(~F.isnan(column), column)
+
+
+def known(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows in which no column is null, by plain conditions.
+
+    Said so before a shuffle, a later join on these columns adds no filter of its own to one side,
+    and both of its sides can share the shuffle.
+    """
+    for column in columns:
+        df = df.where(F.col(column).isNotNull())
+    return df

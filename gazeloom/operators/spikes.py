@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gazeloom.operators.ordered import clean_number, with_position
+from gazeloom.operators.ordered import BEFORE, clean_number, known
 
 CHUNK = 1 << 14
 """Rows of a source that one window holds."""
@@ -34,25 +34,28 @@ def spike_flags(
 ) -> DataFrame:
     """Flags readings that cannot be true: (keys, order, axis, impossible, stuck, spike), flagged rows only.
 
-    df: one row per keys and order; repeated rows count once (their axes must agree). Only rows
-    with valid count. order must be an integer that rises within a source. Each axis is judged on
-    its own, over the readings where it is neither null nor NaN:
+    df: one row per keys and order; of repeated rows one counts (rows of equal order that differ all
+    count, in order of value). Only rows with valid count. order must be an integer that rises
+    within a source. Each axis is judged on its own, over the readings where it is neither null nor
+    NaN:
 
     - impossible: outside limits[axis] (low, high), columns of df; infinite values are outside.
       Without limits, or where they are null, nothing is impossible.
     - stuck: part of STUCK_RUN or more consecutive readings of the same value.
     - spike: one of at most LONGEST_SPIKE consecutive readings that leave, by more than FENCE times
       the scatter, a level which the readings before and after them share. The scatter is taken
-      from the quartiles of the source's consecutive differences: quantile sketches per source,
-      axis and hour (of the column hour, where given) are merged into one per source and axis. It
-      is a held gaze's noise as long as more than half of a source's steps are within a hold.
-      A source without scatter (all values alike) has no spikes.
+      from the quartiles of the source's steps from reading to possible reading: quantile sketches
+      per source, axis, chunk and hour (of the column hour, where given) are merged into one per
+      source and axis. It is a held gaze's noise as long as more than half of a source's steps are
+      within a hold. A source without scatter (all values alike) has no spikes.
 
     Rows with a null key or order belong to no source and are not flagged. An empty table gives an
     empty result; columns of df beyond those named are ignored.
 
-    Sources of any length are cut into blocks of CHUNK readings, each seeing HALO readings of its
-    neighbours, so that no task holds more of a source than that.
+    Sources of any length are cut twice: into chunks of CHUNK of order, which are counted and
+    sketched, and, by the numbers of readings that gives, into blocks of CHUNK readings of an axis,
+    each seeing HALO readings of its neighbours. So no task holds more of a source than that. The
+    first cut's shuffle serves both the count and the blocks.
     """
     limits = limits or {}
     nothing = F.lit(None).cast("double")
@@ -64,100 +67,97 @@ def spike_flags(
         *[clean_number(F.col(a).cast("double")).alias(f"_v{i}") for i, a in enumerate(axes)],
         *[_outside(F.col(a), *limits.get(a, (nothing, nothing))).alias(f"_out{i}") for i, a in enumerate(axes)],
     )
-    readings = readings.repartition(*keys, "_chunk").dropDuplicates([*keys, "_chunk", "_o"])
+    # distinct over all columns, so that both uses below shuffle the same rows and share the shuffle
+    readings = known(readings, [*keys, "_chunk"]).repartition(*keys, "_chunk").distinct()
     series = readings.select(
         *keys, "_chunk", "_o", "_hour",
         F.inline(F.array(*[F.struct(F.lit(i).alias("_axis"), F.col(f"_v{i}").alias("v"), F.col(f"_out{i}").alias("impossible")) for i in range(len(axes))])),
     ).where("v is not null")
-    series = with_position(series, [*keys, "_axis"], "_chunk", ["_o"], "_at").drop("_chunk")
-    series = _in_blocks(series)
-    judged = _judge(series, [*keys, "_axis", "_block"]).where("_core")
-    scatter = _scatter(judged, [*keys, "_axis"])
-    certain = judged.where("impossible or stuck").select(*keys, "_axis", "_o", "impossible", "stuck", F.lit(False).alias("spike"))
-    spikes = (
-        judged.where("size(_excursions) > 0")
-        .select(*keys, "_axis", "_o", "_excursions")
-        .join(scatter, [*keys, "_axis"])
-        .where(
-            F.exists(
-                "_excursions",
-                lambda e: (e["leaves"] > FENCE * F.col("scatter"))
-                & (e["apart"] <= LEVEL * F.col("scatter"))
-                & (e["moving"] <= LEVEL * F.col("scatter")),
-            )
-        )
-        .select(*keys, "_axis", "_o", F.lit(False).alias("impossible"), F.lit(False).alias("stuck"), F.lit(True).alias("spike"))
-    )
+    blocks = _in_blocks(series, _chunks(series, keys), keys)
+    flagged = _judge(blocks, [*keys, "_axis", "_block"]).where("_core and (impossible or stuck or spike)")
     names = F.array(*[F.lit(a) for a in axes])
-    flags = certain.unionByName(spikes).groupBy(*keys, "_o", "_axis")
-    return flags.agg(*[F.bool_or(c).alias(c) for c in ("impossible", "stuck", "spike")]).select(
-        *keys, F.col("_o").alias(order), F.get(names, F.col("_axis")).alias("axis"), "impossible", "stuck", "spike"
-    )
+    return flagged.select(*keys, F.col("_o").alias(order), F.get(names, F.col("_axis")).alias("axis"), "impossible", "stuck", "spike")
 
 
 def _outside(value: Column, low: Column, high: Column) -> Column:
     return F.coalesce((value < low) | (value > high), F.lit(False))
 
 
-def _in_blocks(series: DataFrame) -> DataFrame:
+def _chunks(series: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per chunk: by axis, the source's readings before the chunk and the scatter of the whole source."""
+    inside = W.partitionBy("_chunk", *keys, "_axis").orderBy("_o", "v")
+    step = F.when(~F.col("impossible"), F.col("v") - F.lag("v").over(inside))
+    hourly = series.withColumn("_step", step).groupBy(*keys, "_axis", "_chunk", "_hour").agg(
+        F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double("_step", F.lit(SKETCH_K)).alias("_sketch")
+    )
+    chunks = hourly.groupBy(*keys, "_axis", "_chunk").agg(F.sum("_n").alias("_n"), F.kll_merge_agg_double("_sketch", F.lit(SKETCH_K)).alias("_sketch"))
+    whole = W.partitionBy(*keys, "_axis")
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_chunk").rowsBetween(*BEFORE)), F.lit(0))
+    merged = F.kll_merge_agg_double("_sketch", F.lit(SKETCH_K)).over(whole)
+    facts = chunks.withColumns({"_before": before, "_sketch": merged}).withColumn("scatter", _scatter())
+    return facts.groupBy(*keys, "_chunk").agg(F.map_from_entries(F.collect_list(F.struct("_axis", F.struct("_before", "scatter")))).alias("_facts"))
+
+
+def _scatter() -> Column:
+    """Scatter from a merged sketch of steps; null if there are no steps or all are 0."""
+
+    def between(low: float, high: float) -> Column:
+        q = F.kll_sketch_get_quantile_double("_sketch", F.array(F.lit(low), F.lit(high)))
+        return F.when(F.kll_sketch_get_n_double("_sketch") > 0, q[1] - q[0])
+
+    usual = between(0.25, 0.75) / IQR_OF_DIFFERENCES
+    wide = between(0.1, 0.9) / (IQR_OF_DIFFERENCES * 1.9)
+    return F.when(usual > 0, usual).when(wide > 0, wide)
+
+
+def _in_blocks(series: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Each reading in its block (_core) and, near an edge, in the neighbouring block too."""
-    block, place = F.floor(F.col("_at") / CHUNK), F.col("_at") % CHUNK
+    inside = W.partitionBy("_chunk", *keys, "_axis").orderBy("_o", "v")
+    numbered = series.drop("_hour").withColumn("_inside", F.row_number().over(inside) - 1).join(chunks, [*keys, "_chunk"])
+    numbered = numbered.withColumn("_facts", F.col("_facts")[F.col("_axis")]).select("*", "_facts.*")
+    at = F.col("_before") + F.col("_inside")
+    block, place = F.floor(at / CHUNK), at % CHUNK
     copies = F.array(
         F.struct(block.alias("_block"), F.lit(True).alias("_core")),
         F.when((place < HALO) & (block > 0), F.struct((block - 1).alias("_block"), F.lit(False).alias("_core"))),
         F.when(place >= CHUNK - HALO, F.struct((block + 1).alias("_block"), F.lit(False).alias("_core"))),
     )
-    return series.select("*", F.inline(F.filter(copies, lambda c: c.isNotNull()))).drop("_at")
+    return numbered.select(*keys, "_axis", "_o", "v", "impossible", "scatter", F.inline(F.filter(copies, lambda c: c.isNotNull())))
 
 
-def _judge(series: DataFrame, block: list[str]) -> DataFrame:
-    """Adds step (to the previous reading), stuck, and _excursions: the possible spikes a reading is part of.
+def _judge(blocks: DataFrame, block: list[str]) -> DataFrame:
+    """Adds stuck and spike.
 
-    Of an excursion: leaves, the least distance of its readings from the level; apart, how far the
-    readings before and after it differ; moving, the smaller of the steps into the reading before
-    and out of the reading after, which is large only where the gaze moves on both sides.
+    An excursion of k readings is a spike if each leaves the level by more than FENCE times the
+    scatter, the readings before and after it are apart by no more than LEVEL times it, and so is
+    one of the steps into the reading before and out of the reading after: both are large only
+    where the gaze moves on and turns.
     """
-    w = W.partitionBy(*block).orderBy("_o")
+    w = W.partitionBy(*block).orderBy("_o", "v")
     at = {i: (F.lag("v", -i) if i < 0 else F.lead("v", i)).over(w) if i else F.col("v") for i in range(-2, LONGEST_SPIKE + 2)}
-    # a candidate must pass FENCE and LEVEL for some scatter, so apart and moving stay below this share of leaves
-    share = LEVEL / FENCE
+    zero = F.lit(0.0)
 
     def excursion(k: int) -> Column:
         before, after = F.col("_n-1"), F.col(f"_n{k}")
         level = (before + after) / 2
-        leaves = F.abs(F.col("v") - level) if k == 1 else F.least(*[F.abs(F.col(f"_n{i}") - level) for i in range(k)])
-        apart = F.abs(before - after)
-        moving = F.least(F.coalesce(F.abs(before - F.col("_n-2")), F.lit(0.0)), F.coalesce(F.abs(F.col(f"_n{k + 1}") - after), F.lit(0.0)))
-        fits = (apart <= share * leaves) & (moving <= share * leaves) & (leaves > 0)
-        return F.when(fits, F.struct(leaves.alias("leaves"), apart.alias("apart"), moving.alias("moving")))
-
-    near = series.withColumns({f"_n{i}": c for i, c in at.items()})
+        leaves = [F.abs(F.col(f"_n{i}") - level) > FENCE * F.col("scatter") for i in range(k)]
+        shared = F.abs(before - after) <= LEVEL * F.col("scatter")
+        moving = F.least(F.coalesce(F.abs(before - F.col("_n-2")), zero), F.coalesce(F.abs(F.col(f"_n{k + 1}") - after), zero))
+        fits = shared & (moving <= LEVEL * F.col("scatter"))
+        for leaf in leaves:
+            fits = fits & leaf
+        return F.coalesce(fits, F.lit(False))
+
+    near = blocks.withColumns({f"_n{i}": c for i, c in at.items()})
     near = near.withColumns(
         {
-            "step": F.col("v") - F.col("_n-1"),
             "_run": F.sum(F.when(F.col("v") == F.col("_n-1"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)),
             **{f"_e{k}": excursion(k) for k in range(1, LONGEST_SPIKE + 1)},
         }
     ).drop(*[f"_n{i}" for i in at])
     held = near.withColumn("_held", F.coalesce(F.lead("_run", STUCK_RUN - 1).over(w) == F.col("_run"), F.lit(False)))
-    parts = [F.lag(f"_e{k}", j).over(w) if j else F.col(f"_e{k}") for k in range(1, LONGEST_SPIKE + 1) for j in range(k)]
-    return held.withColumns(
-        {
-            "stuck": F.max("_held").over(w.rowsBetween(1 - STUCK_RUN, 0)),
-            "_excursions": F.filter(F.array(*parts), lambda e: e.isNotNull()),
-        }
-    ).drop("_run", "_held", *[f"_e{k}" for k in range(1, LONGEST_SPIKE + 1)])
-
-
-def _scatter(judged: DataFrame, keys: list[str]) -> DataFrame:
-    """Scatter of each source and axis from the merged sketches of its steps."""
-    hourly = judged.where("step is not null").groupBy(*keys, "_hour").agg(F.kll_sketch_agg_double("step", F.lit(SKETCH_K)).alias("sketch"))
-    whole = hourly.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
-
-    def between(low: float, high: float) -> Column:
-        q = F.kll_sketch_get_quantile_double("sketch", F.array(F.lit(low), F.lit(high)))
-        return q[1] - q[0]
-
-    usual = between(0.25, 0.75) / IQR_OF_DIFFERENCES
-    wide = between(0.1, 0.9) / (IQR_OF_DIFFERENCES * 1.9)
-    return whole.select(*keys, F.when(usual > 0, usual).when(wide > 0, wide).alias("scatter"))
+    parts = [F.lag(f"_e{k}", j, False).over(w) if j else F.col(f"_e{k}") for k in range(1, LONGEST_SPIKE + 1) for j in range(k)]
+    spike = parts[0]
+    for part in parts[1:]:
+        spike = spike | part
+    return held.withColumns({"stuck": F.max("_held").over(w.rowsBetween(1 - STUCK_RUN, 0)), "spike": spike})
