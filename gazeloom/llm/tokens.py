@@ -15,7 +15,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 
-STRETCH = 1 << 21
+STRETCH = 1 << 19
 """Bytes of text that are cut into pieces at once; a longer text is a stretch of its own."""
 LETTER, DIGIT, SPACE, OTHER = range(4)
 KIND = np.full(256, OTHER, np.uint8)
