@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once, so that they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_gazeloom", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-ship-')}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._gazeloom = True
