@@ -80,3 +80,30 @@ def known(df: DataFrame, columns: list[str]) -> DataFrame:
     for column in columns:
         df = df.where(F.col(column).isNotNull())
     return df
+
+
+BLOCK = 1 << 14
+"""Rows of a key that one window over blocks holds, besides its neighbours."""
+
+
+def in_blocks(df: DataFrame, keys: list[str], order: str, before: int, after: int = 0, size: int = BLOCK) -> DataFrame:
+    """Adds _at (0-based position by order), _block and _core, and repeats rows near a block's edges.
+
+    Every block of `size` rows of a key also gets the `before` rows that precede it and the `after`
+    rows that follow it, with _core false. A window over (keys, _block) by order then sees for each
+    core row what a window over the whole key would, as far as `before` rows back and `after` rows
+    ahead, while no task holds a key as a whole. order is a whole number that is unique in a key;
+    rows with a null key or order are left out.
+    """
+    if before > size or after > size:
+        raise ValueError("a block must be larger than what its windows look back on or ahead to")
+    rows = known(df.withColumn("_chunk", F.floor(F.col(order) / size)), [*keys, "_chunk"])
+    rows = with_position(rows.repartition(*keys, "_chunk"), keys, "_chunk", [order], "_at").drop("_chunk")
+    block, place = F.floor(F.col("_at") / size), F.col("_at") % size
+    copy = lambda to, core: F.struct(to.alias("_block"), F.lit(core).alias("_core"))
+    copies = F.array(
+        copy(block, True),
+        F.when((place < after) & (block > 0), copy(block - 1, False)),
+        F.when(place >= size - before, copy(block + 1, False)),
+    )
+    return rows.select("*", F.inline(F.filter(copies, lambda c: c.isNotNull())))
