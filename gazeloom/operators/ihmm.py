@@ -15,7 +15,7 @@ from gazeloom.operators.ordered import in_blocks
 PIECE = 1 << 15
 """Steps on which one model is fitted. A longer key is labelled piece by piece."""
 ROUNDS = 100
-TOLERANCE = 1e-4
+TOLERANCE = 1e-2
 FLOOR = 1e-3
 """Least variance, as in the usual implementations."""
 
