@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +24,23 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's checkpoint folder and continues from there.
+    """Writes df as a table into the cluster's checkpoint folder and continues from there.
 
-    The folder is spark.checkpoint.dir, which all executors share. Only where a session has
-    none (tests, a single machine) is a temporary one set.
+    The folder is spark.checkpoint.dir, which all executors share. Only where a session has none
+    (tests, a single machine) is a temporary one taken. A table rather than checkpoint(): that one
+    hands on the constraints of the plan it cuts, which grow without end in a loop. The tables are
+    deleted when the session's JVM ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getCheckpointDir()
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/table-{uuid.uuid4().hex}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
