@@ -106,8 +106,8 @@ def pack(items: DataFrame, ident: str, size: Column, capacity: int) -> DataFrame
     their number among those of their size, counted in CHUNKS parts so that no task holds a size as
     a whole. The sizes are written once, since measuring them may cost much.
     """
-    measured = items.select(F.col(ident).alias("_id"), F.greatest(size.cast("bigint"), F.lit(0)).alias("_size"))
-    measured = measured.dropna().groupBy("_id").agg(F.max("_size").alias("_size"))
+    measured = items.select(F.col(ident).alias("_id"), size.cast("bigint").alias("_size")).dropna().withColumn("_size", F.greatest("_size", F.lit(0)))
+    measured = measured.groupBy("_id").agg(F.max("_size").alias("_size"))
     measured = cut_lineage(measured)
     rows = parts(measured, "_size", capacity)
     counts = np.zeros(capacity + 1, np.int64)

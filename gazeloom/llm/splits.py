@@ -31,10 +31,10 @@ def connected_groups(records: DataFrame, ident: str, entities: list[str]) -> Dat
 
     Minimum-label propagation on the bipartite graph of records and entities. Records with equal
     values are one node, labelled with their smallest ident. In each round an entity takes the
-    least label of its nodes and every node the least of its entities; a node then also takes the
-    label that its label's own node has reached, which doubles the distance a label travels, so
-    rounds grow with the logarithm of the longest chain. Every round is written to the checkpoint
-    folder. Only the number of changed labels reaches the driver.
+    least label of its nodes, and all nodes of one label take the least of all their entities, and
+    then what the nodes of that label have taken. So labels merge whole, and the distance they
+    travel doubles: rounds grow with the logarithm of the longest chain. Every round is written to
+    the checkpoint folder. Whether a label has changed is all that reaches the driver.
     """
     rows = records.select(F.col(ident).alias("_id"), *[entity_key(e).alias(f"_e{i}") for i, e in enumerate(entities)]).where("_id is not null").distinct()
     columns = [f"_e{i}" for i in range(len(entities))]
@@ -46,14 +46,12 @@ def connected_groups(records: DataFrame, ident: str, entities: list[str]) -> Dat
     labels = nodes.where("size(_values) > 0").select("own", F.col("own").alias("label"), "_values")
     for _ in range(MAX_ROUNDS):
         least = labels.select("label", F.explode("_values").alias("_value")).groupBy("_value").agg(F.min("label").alias("_least"))
-        heard = labels.select("own", F.explode("_values").alias("_value")).join(least, "_value").groupBy("own").agg(F.min("_least").alias("_heard"))
-        moved = labels.join(heard, "own").select("own", F.least("label", "_heard").alias("_new"), "label", "_values")
-        jump = moved.select(F.col("own").alias("_target"), F.col("_new").alias("_beyond"))
-        moved = moved.join(jump, F.col("_new") == F.col("_target"), "left")
-        moved = moved.select("own", F.least("_new", F.coalesce("_beyond", "_new")).alias("_new"), "label", "_values")
-        moved = cut_lineage(moved)
-        changed = moved.where("_new < label").limit(1).count()
-        labels = moved.select("own", F.col("_new").alias("label"), "_values")
+        heard = labels.select("label", F.explode("_values").alias("_value")).join(least, "_value").groupBy("label").agg(F.min("_least").alias("_hook"))
+        hooks = cut_lineage(heard)
+        beyond = hooks.select(F.col("label").alias("_hook"), F.col("_hook").alias("_beyond"))
+        jumps = hooks.join(beyond, "_hook", "left").select("label", F.least("_hook", F.coalesce("_beyond", "_hook")).alias("_new"))
+        changed = hooks.where("_hook < label").limit(1).count()
+        labels = cut_lineage(labels.join(jumps, "label").select("own", F.col("_new").alias("label"), "_values"))
         if not changed:
             break
     else:
