@@ -50,7 +50,7 @@ def angle_between(first: list[Column], second: list[Column]) -> Column:
     dot = reduce(lambda a, b: a + b, [a * b for a, b in zip(first, second)])
     norms = [F.sqrt(reduce(lambda a, b: a + b, [c * c for c in v])) for v in (first, second)]
     cosine = F.try_divide(dot, norms[0] * norms[1])
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return _degrees_of(cosine)
 
 
 def angle_between_arrays(first: Column, second: Column) -> Column:
@@ -59,7 +59,12 @@ def angle_between_arrays(first: Column, second: Column) -> Column:
     dot = total(F.zip_with(first, second, lambda a, b: a.cast("double") * b.cast("double")))
     norms = [F.sqrt(total(F.transform(v, lambda a: a.cast("double") * a.cast("double")))) for v in (first, second)]
     cosine = F.try_divide(dot, norms[0] * norms[1])
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return _degrees_of(cosine)
+
+
+def _degrees_of(cosine: Column) -> Column:
+    """Angle of a cosine that rounding may have carried past 1; null for null, which greatest and least would pass over."""
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def pixels_per_degree(width_px: Column, height_px: Column, width_mm: Column, height_mm: Column, distance_mm: Column) -> tuple[Column, Column]:

@@ -203,7 +203,7 @@ def recordings_without_coordinates(spark: SparkSession, folder: str) -> DataFram
 
 # --- angles and kinematics -----------------------------------------------------------------------
 
-ANGLE = "degrees(acos(greatest(-1.0, least(1.0, {dot} / nullif({norms}, 0)))))"
+ANGLE = "degrees(acos(greatest(-1.0, least(1.0, {dot} / nullif({norms}, 0))))) + 0 * ({dot} / nullif({norms}, 0))"
 
 
 @REGISTRY.add(
@@ -366,7 +366,7 @@ IVT_POINTS = (
     + """, u as (select recording_id, t, arg_min(ord, ord) as ord, arg_min(x, ord) as x, arg_min(y, ord) as y, arg_min({'z': left_z}, ord).z as left_z from (select * replace (case when isnan(left_z) then null else left_z end as left_z) from ok) group by recording_id, t),
 o as (select *, row_number() over (partition by recording_id order by ord) - 1 as pos, t - first_value(t) over (partition by recording_id order by ord) as rt, x / 7.21 as vx, y / 7.21 as vy from u),
 l as (select *, lag(vx) over w as wx, lag(vy) over w as wy, lag(left_z) over w as wz from o window w as (partition by recording_id order by pos)),
-q as (select *, degrees(acos(greatest(-1.0, least(1.0, (vx * wx + vy * wy + left_z * wz) / nullif(sqrt(wx * wx + wy * wy + wz * wz) * sqrt(vx * vx + vy * vy + left_z * left_z), 0))))) * 90 as velocity from l),
+q as (select *, (degrees(acos(greatest(-1.0, least(1.0, (vx * wx + vy * wy + left_z * wz) / nullif(sqrt(wx * wx + wy * wy + wz * wz) * sqrt(vx * vx + vy * vy + left_z * left_z), 0))))) + 0 * ((vx * wx + vy * wy + left_z * wz) / nullif(sqrt(wx * wx + wy * wy + wz * wz) * sqrt(vx * vx + vy * vy + left_z * left_z), 0))) * 90 as velocity from l),
 pt as (select recording_id, pos, x, y, left_z as z, rt, velocity, case when velocity < 30 then 1 when velocity > 30 then 0 else -1 end as point from q where pos >= 2),
 i as (select *, coalesce(sum(case when point = 0 then 1 else 0 end) over (partition by recording_id order by pos rows unbounded preceding), 0) as island, count(*) filter (where point = 0) over (partition by recording_id) as sacc from pt),
 fx as (select recording_id, island, avg(x) as x, avg(y) as y, avg(z) as z, (stddev_samp(x) + stddev_samp(y)) / 2 as spread, arg_min(rt, pos) as start_time, arg_max(rt, pos) as end_time, count(*) as n,
@@ -374,7 +374,7 @@ fx as (select recording_id, island, avg(x) as x, avg(y) as y, avg(z) as z, (stdd
 pr as (select *, row_number() over (partition by recording_id order by island) - 1 as pos, lead(x) over w as x2, lead(y) over w as y2, lead(z) over w as z2, lead(spread) over w as spread2,
   lead(start_time) over w as start2, lead(end_time) over w as end2, lead(elapsed) over w as elapsed2 from fx window w as (partition by recording_id order by island)),
 cl as (select *, coalesce(start2 - end_time < 0.075 and pos >= 1 and
-  degrees(acos(greatest(-1.0, least(1.0, (x * x2 + y * y2 + z * z2) / nullif(sqrt(x * x + y * y + z * z) * sqrt(x2 * x2 + y2 * y2 + z2 * z2), 0))))) / nullif((start2 + end2) / 2 - (start_time + end_time) / 2, 0) <= 100.0, false) as close from pr)
+  (degrees(acos(greatest(-1.0, least(1.0, (x * x2 + y * y2 + z * z2) / nullif(sqrt(x * x + y * y + z * z) * sqrt(x2 * x2 + y2 * y2 + z2 * z2), 0))))) + 0 * ((x * x2 + y * y2 + z * z2) / nullif(sqrt(x * x + y * y + z * z) * sqrt(x2 * x2 + y2 * y2 + z2 * z2), 0))) / nullif((start2 + end2) / 2 - (start_time + end_time) / 2, 0) <= 100.0, false) as close from pr)
 """
 )
 LOOSE = ivt.Thresholds(merge_velocity=100.0)
