@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gazeloom.operators.ordered import BEFORE, clean_number, known
+from gazeloom.session import cut_lineage
 
 CHUNK = 1 << 14
 """Rows of a source that one window holds."""
@@ -55,7 +56,7 @@ def spike_flags(
     Sources of any length are cut twice: into chunks of CHUNK of order, which are counted and
     sketched, and, by the numbers of readings that gives, into blocks of CHUNK readings of an axis,
     each seeing HALO readings of its neighbours. So no task holds more of a source than that. The
-    first cut's shuffle serves both the count and the blocks.
+    counts and sketches, a row per chunk, are written once; sketches are merged before the shuffle.
     """
     limits = limits or {}
     nothing = F.lit(None).cast("double")
@@ -67,7 +68,6 @@ def spike_flags(
         *[clean_number(F.col(a).cast("double")).alias(f"_v{i}") for i, a in enumerate(axes)],
         *[_outside(F.col(a), *limits.get(a, (nothing, nothing))).alias(f"_out{i}") for i, a in enumerate(axes)],
     )
-    # distinct over all columns, so that both uses below shuffle the same rows and share the shuffle
     readings = known(readings, [*keys, "_chunk"]).repartition(*keys, "_chunk").distinct()
     series = readings.select(
         *keys, "_chunk", "_o", "_hour",
@@ -91,10 +91,11 @@ def _chunks(series: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double("_step", F.lit(SKETCH_K)).alias("_sketch")
     )
     chunks = hourly.groupBy(*keys, "_axis", "_chunk").agg(F.sum("_n").alias("_n"), F.kll_merge_agg_double("_sketch", F.lit(SKETCH_K)).alias("_sketch"))
-    whole = W.partitionBy(*keys, "_axis")
-    before = F.coalesce(F.sum("_n").over(whole.orderBy("_chunk").rowsBetween(*BEFORE)), F.lit(0))
-    merged = F.kll_merge_agg_double("_sketch", F.lit(SKETCH_K)).over(whole)
-    facts = chunks.withColumns({"_before": before, "_sketch": merged}).withColumn("scatter", _scatter())
+    chunks = cut_lineage(chunks)
+    before = W.partitionBy(*keys, "_axis").orderBy("_chunk").rowsBetween(*BEFORE)
+    counts = chunks.select(*keys, "_axis", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    whole = chunks.groupBy(*keys, "_axis").agg(F.kll_merge_agg_double("_sketch", F.lit(SKETCH_K)).alias("_sketch"))
+    facts = counts.join(whole.select(*keys, "_axis", _scatter().alias("scatter")), [*keys, "_axis"])
     return facts.groupBy(*keys, "_chunk").agg(F.map_from_entries(F.collect_list(F.struct("_axis", F.struct("_before", "scatter")))).alias("_facts"))
 
 
