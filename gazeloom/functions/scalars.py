@@ -12,7 +12,6 @@ EXPERTISE = {"a": 0, "b": 0, "c": 0, "d": 1}
 READER_CLASS = {"a": 0, "b": 1, "c": 2, "d": 3}
 MOVEMENT_NAMES = {0: "Fixation", 1: "Saccade", 2: "Smooth Pursuit", 3: "Blinks/Noise"}
 PATTERN_CODES = {"F": 0, "S": 1, "P": 2, "B": 3, "3": 3}
-ARFF_CLASSES = {0: "FIX", 1: "SACCADE", 2: "SP", 3: "NOISE"}
 
 
 def steady(column: Column | str) -> Column:
@@ -32,6 +31,11 @@ def mapped(column: Column, mapping: dict) -> Column:
     return F.try_element_at(literal, column)
 
 
+def unmapped(column: Column, mapping: dict) -> Column:
+    """The key whose value the column has, or null: mapped, the other way round."""
+    return mapped(column, {v: k for k, v in mapping.items()})
+
+
 def normalized(column: Column) -> Column:
     return F.lower(F.trim(column))
 

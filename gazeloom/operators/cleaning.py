@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 from gazeloom.functions.scalars import is_valid
 from gazeloom.operators.ordered import clean_number, in_blocks
 
-# Columns of a feature table that are no features, by task.
-NOT_FEATURES = {"expertise": ("label", "case", "fname", "gaze_path", "start_time", "end_time"), "error": ("radiologist", "case", "fname", "gaze_path", "start_time", "end_time")}
+# Columns of a feature table that don't enter a model, by task.
+NOT_FEATURES = {
+    "expertise": (
+        "acceleration_mean", "acceleration_std", "case", "fname", "win_w", "win_h", "label", "x", "y", "Unnamed: 0",
+        "speed_mean", "speed_std", "steps_back", "timestamp", "rad_name", "gaze_path",
+    ),
+    "error": (
+        "acceleration_mean", "acceleration_std", "case", "fname", "win_w", "win_h", "x", "y", "Unnamed: 0",
+        "speed_mean", "speed_std", "steps_back", "timestamp", "rad_name", "gaze_path", "radiologist",
+    ),
+}
 
 
 def distinct_samples(gaze: DataFrame) -> DataFrame:
@@ -54,7 +63,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int, skip: i
 
 
 def without_columns(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """df without those of the columns it has."""
+    """df without those of the columns it has; NOT_FEATURES names them for the two tasks."""
     return df.drop(*names)
 
 

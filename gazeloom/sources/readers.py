@@ -75,14 +75,18 @@ def read_arff(spark: SparkSession, path: str, attributes: list[str]) -> tuple[Da
 
 
 def screen_metadata(metadata: DataFrame) -> DataFrame:
-    """Metadata names in their present form: pixels as width_px, height_px, lengths in mm; metres of older files times 1000."""
+    """Metadata names in their present form: pixels as width_px, height_px, lengths in mm; metres of older files times 1000.
+
+    Where a recording has both the older and the present name, the present one holds.
+    """
     # Older names, what they became and the factor.
     older = {"PIXELX": ("width_px", 1.0), "PIXELY": ("height_px", 1.0), "DIMENSIONX": ("width_mm", 1000.0), "DIMENSIONY": ("height_mm", 1000.0), "DISTANCE": ("distance_mm", 1000.0)}
     name, value = F.col("name"), F.col("value")
     for old, (new, factor) in older.items():
         value = F.when(F.col("name") == old, F.col("value") * factor).otherwise(value)
         name = F.when(F.col("name") == old, new).otherwise(name)
-    return metadata.select("recording", name.alias("name"), value.alias("value"))
+    renamed = metadata.select("recording", name.alias("name"), value.alias("value"), F.col("name").isin(*older).alias("_older"))
+    return renamed.groupBy("recording", "name").agg(F.min_by("value", "_older").alias("value"))
 
 
 def write_arff(df: DataFrame, recording: str, order: str, attributes: list[str], metadata: dict[str, float], path: str, relation: str = "gaze_labels") -> None:
