@@ -393,7 +393,7 @@ def _steadied(df: DataFrame, columns: list[str]) -> DataFrame:
 FIX = ["x", "y", "z", "spread", "start_time", "end_time", "elapsed"]
 
 
-@REGISTRY.add(IVT_POINTS + f"select recording_id, island, n, {', '.join(f'{r(c)} as {c}' for c in FIX)} from fx")
+@REGISTRY.add(IVT_POINTS + f"select recording_id, cast(island as bigint) as island, n, {', '.join(f'{r(c)} as {c}' for c in FIX)} from fx")
 def ivt_fixations(spark: SparkSession, folder: str) -> DataFrame:
     """Fixations by velocity threshold, before merging."""
     return _steadied(_islands(spark, folder).select("recording_id", "island", "n", *FIX), FIX)
