@@ -9,36 +9,112 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazeloom.operators.cleaning import decimate, keep_first
-from gazeloom.operators.ordered import in_blocks
 
 DECIMATED_ABOVE = 7000
-PIECE = 4096
-"""Points of one tree. A longer key is cut into pieces, since a tree takes time in the square of its points."""
+LEAF = 128
+"""Points of one cell of the plane that are compared with those of another at once."""
 LEVELS = 20
 GAIN = 1e-12
 
 
 def spanning_tree(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parent, child and weight of each edge of the minimum spanning tree from point 0, in order of discovery.
+    """Lower end, upper end and weight of each edge of the minimum spanning tree of the complete graph, of any number of points.
 
-    Prim's method on the complete graph without its edges: only the distance of every point from
-    the tree is kept. Ties go to the earlier point.
+    Boruvka's method: in each round every component takes its shortest edge to another one. Points
+    lie in cells of at most LEAF; cells are looked through in order of their distance until none can
+    hold a nearer point, so the tree is exact, without the graph's edges. Ties go to the edge of the
+    lower end, then of the lower other end, which makes the tree unique; points of one place hang on
+    the first of them. Memory grows with the points.
     """
     n = len(x)
-    nearest, distance = np.zeros(n, int), np.hypot(x - x[0], y - y[0])
-    distance[0] = np.inf
-    inside = np.zeros(n, bool)
-    inside[0] = True
-    parents, children, weights = np.zeros(n - 1, int), np.zeros(n - 1, int), np.zeros(n - 1)
-    for i in range(n - 1):
-        child = int(np.argmin(distance))
-        parents[i], children[i], weights[i] = nearest[child], child, distance[child]
-        inside[child] = True
-        step = np.hypot(x - x[child], y - y[child])
-        closer = ~inside & (step < distance)
-        distance[closer], nearest[closer] = step[closer], child
-        distance[child] = np.inf
-    return parents, children, weights
+    order = np.lexsort((y, x))
+    fresh = np.ones(n, bool)
+    fresh[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    hub = np.empty(n, int)
+    hub[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    places = np.flatnonzero(hub == np.arange(n))
+    rest = np.flatnonzero(hub != np.arange(n))
+    low, high, weights = _place_tree(x[places], y[places])
+    return np.concatenate([hub[rest], places[low]]), np.concatenate([rest, places[high]]), np.concatenate([np.zeros(len(rest)), weights])
+
+
+def _cells(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The points' numbers in cells of at most LEAF, halved along the wider side."""
+    cells, waiting = [], [np.arange(len(x))]
+    while waiting:
+        points = waiting.pop()
+        if len(points) <= LEAF:
+            cells.append(np.sort(points))
+            continue
+        along = x if np.ptp(x[points]) >= np.ptp(y[points]) else y
+        half = np.argpartition(along[points], len(points) // 2)
+        waiting += [points[half[: len(points) // 2]], points[half[len(points) // 2 :]]]
+    return cells
+
+
+def _place_tree(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of places that all differ."""
+    n = len(x)
+    cells = _cells(x, y)
+    sides = [np.array([f(v[c]) for c in cells]) for v in (x, y) for f in (np.min, np.max)]
+    starts = np.concatenate([[0], np.cumsum([len(c) for c in cells])[:-1]]).astype(int)
+    by_cell = np.concatenate(cells)
+    component, count = np.arange(n), n
+    near, distance, stale = np.zeros(n, int), np.zeros(n), np.ones(n, bool)  # of a stale point the distance is a lower bound
+    edges = []
+    while count > 1:
+        best = np.full(count, np.inf)
+        np.minimum.at(best, component[~stale], distance[~stale])
+        first, last = (f.reduceat(component[by_cell], starts) for f in (np.minimum, np.maximum))
+        only = np.where(first == last, first, -1)
+        for cell in cells:
+            looking = cell[stale[cell] & (distance[cell] <= best[component[cell]])]
+            if len(looking):
+                w, q = _nearest(x, y, looking, component, best[component[looking]], cells, sides, only)
+                found = w <= best[component[looking]]
+                distance[looking] = np.where(found, w, best[component[looking]])
+                near[looking[found]] = q[found]
+                stale[looking[found]] = False
+                np.minimum.at(best, component[looking[found]], w[found])
+        chosen = np.flatnonzero(~stale & (distance <= best[component]))
+        low, high = np.minimum(chosen, near[chosen]), np.maximum(chosen, near[chosen])
+        chosen = chosen[np.lexsort((high, low, component[chosen]))]
+        chosen = chosen[np.unique(component[chosen], return_index=True)[1]]
+        edges.append(np.stack([np.minimum(chosen, near[chosen]), np.maximum(chosen, near[chosen])], 1))
+        target = component[near[chosen]]  # chosen holds one point per component, in their order
+        own = np.arange(count)
+        target = np.where((target[target] == own) & (own < target), own, target)
+        while (target != target[target]).any():
+            target = target[target]
+        roots, renamed = np.unique(target, return_inverse=True)
+        component, count = renamed[component], len(roots)
+        stale |= component[near] == component
+    low, high = np.unique(np.concatenate(edges), axis=0).T if edges else np.zeros((2, 0), int)
+    return low, high, np.hypot(x[low] - x[high], y[low] - y[high])
+
+
+def _nearest(x, y, points, component, bound, cells, sides, only) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and number of the nearest point of another component, exact where it is within bound."""
+    px, py, own = x[points], y[points], component[points]
+    left, right, bottom, top = sides
+    gap = np.hypot(np.maximum(0, np.maximum(left - px.max(), px.min() - right)), np.maximum(0, np.maximum(bottom - py.max(), py.min() - top))) * (1 - 1e-12)
+    other = gap <= bound.max()
+    if (own == own[0]).all():
+        other &= only != own[0]
+    candidates = np.flatnonzero(other)
+    w, q = np.full(len(points), np.inf), np.full(len(points), len(x))
+    rows = np.arange(len(points))
+    for c in candidates[np.argsort(gap[candidates], kind="stable")]:
+        if gap[c] > np.minimum(w, bound).max():
+            break
+        members = cells[c]
+        d = np.hypot(px[:, None] - x[members], py[:, None] - y[members])
+        d[own[:, None] == component[members]] = np.inf
+        j = d.argmin(1)
+        there, which = d[rows, j], members[j]
+        closer = (there < w) | ((there == w) & (which < q))
+        w[closer], q[closer] = there[closer], which[closer]
+    return w, q
 
 
 def _depths(n: int, neighbours: list[list[int]], start: int) -> np.ndarray:
@@ -130,42 +206,43 @@ def cluster_points(x: np.ndarray, y: np.ndarray, width: float, height: float) ->
     return [(float(np.median(x[m])), float(np.median(y[m])), len(m)) for _, m in sorted(clusters.items())]
 
 
-def _pieces(df: DataFrame, keys: list[str], order: str, time: str, size: tuple[str, str]) -> DataFrame:
+def _points(df: DataFrame, keys: list[str], order: str, time: str, size: tuple[str, str]) -> DataFrame:
     points = decimate(keep_first(df, [*keys, "x", "y", time], [order]), keys, order, DECIMATED_ABOVE)
-    placed = in_blocks(points, keys, order, 0, size=PIECE).where("_core")
-    return placed.select(*keys, F.col("_block").alias("piece"), F.col("_at").alias("at"), "x", "y", *[F.col(s).cast("double").alias(n) for s, n in zip(size, ("width", "height"))])
+    return points.select(*keys, F.col(order).alias("at"), "x", "y", *[F.col(s).cast("double").alias(n) for s, n in zip(size, ("width", "height"))])
 
 
 def mst_weight(df: DataFrame, keys: list[str], order: str, time: str, size: tuple[str, str]) -> DataFrame:
-    """Edges and total weight of each piece's tree, coordinates being shares of the window: (keys, piece, n_points, weight)."""
-    pieces = _pieces(df, keys, order, time, size)
-    schema = T.StructType([*[pieces.schema[k] for k in keys], T.StructField("piece", T.LongType()), T.StructField("n_points", T.LongType()), T.StructField("weight", T.DoubleType())])
+    """Points and total weight of each key's tree, coordinates being shares of the window: (keys, n_points, weight).
 
-    def weigh(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("at")
-        weights = spanning_tree((piece["x"] / piece["width"]).to_numpy(), (piece["y"] / piece["height"]).to_numpy())[2]
-        return piece[[*keys, "piece"]].head(1).assign(n_points=len(piece), weight=weights.sum())
+    A tree is of all of its key's points and found by one task, whatever their number.
+    """
+    points = _points(df, keys, order, time, size)
+    schema = T.StructType([*[points.schema[k] for k in keys], T.StructField("n_points", T.LongType()), T.StructField("weight", T.DoubleType())])
 
-    return pieces.groupBy(*keys, "piece").applyInPandas(weigh, schema)
+    def weigh(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        weights = spanning_tree((group["x"] / group["width"]).to_numpy(), (group["y"] / group["height"]).to_numpy())[2]
+        return group[keys].head(1).assign(n_points=len(group), weight=weights.sum())
+
+    return points.groupBy(*keys).applyInPandas(weigh, schema)
 
 
 def mst_fixations(df: DataFrame, keys: list[str], order: str, time: str, size: tuple[str, str]) -> DataFrame:
-    """Fixations: (keys, piece, cluster, n, x, y), the median points of clusters in the tree of a recording's samples.
+    """Fixations: (keys, cluster, n, x, y), the median points of clusters in the tree of a recording's samples.
 
     size names the columns of the window's width and height. Samples equal in place and time count
-    once; keys with more than DECIMATED_ABOVE samples keep every other one.
+    once; keys with more than DECIMATED_ABOVE samples keep every other one. A key's tree,
+    eccentricities and communities are of all its points and found by one task.
     """
-    pieces = _pieces(df, keys, order, time, size)
-    schema = T.StructType(
-        [*[pieces.schema[k] for k in keys], *[T.StructField(n, T.LongType()) for n in ("piece", "cluster", "n")], *[T.StructField(n, T.DoubleType()) for n in ("x", "y")]]
-    )
-
-    def find(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("at")
-        found = cluster_points(piece["x"].to_numpy(), piece["y"].to_numpy(), piece["width"].iloc[0], piece["height"].iloc[0])
+    points = _points(df, keys, order, time, size)
+    schema = T.StructType([*[points.schema[k] for k in keys], *[T.StructField(n, T.LongType()) for n in ("cluster", "n")], *[T.StructField(n, T.DoubleType()) for n in ("x", "y")]])
+
+    def find(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        found = cluster_points(group["x"].to_numpy(), group["y"].to_numpy(), group["width"].iloc[0], group["height"].iloc[0])
         out = pd.DataFrame(found, columns=["x", "y", "n"]).astype({"x": float, "y": float, "n": int})
-        for k in (*keys, "piece"):
-            out[k] = piece[k].iloc[0]
+        for k in keys:
+            out[k] = group[k].iloc[0]
         return out.assign(cluster=np.arange(len(out)))[schema.names]
 
-    return pieces.groupBy(*keys, "piece").applyInPandas(find, schema)
+    return points.groupBy(*keys).applyInPandas(find, schema)

@@ -113,6 +113,31 @@ def test_spanning_tree_and_eccentricity():
     assert len({two[v] for v in (0, 1, 2)}) == len({two[v] for v in (3, 4, 5)}) == 1 and two[0] != two[5]
 
 
+@pytest.mark.parametrize("leaf", (8, 128))
+def test_spanning_tree_with_ties_is_that_of_all_edges(monkeypatch, leaf):
+    monkeypatch.setattr(imst, "LEAF", leaf, raising=False)
+    x, y = np.random.default_rng(leaf).integers(0, 15, (2, 300)).astype(float)
+    root, want = list(range(300)), set()
+    for _, i, j in sorted((float(np.hypot(x[i] - x[j], y[i] - y[j])), i, j) for j in range(300) for i in range(j)):
+        if root[i] != root[j]:
+            want.add((i, j))
+            root = [root[i] if r == root[j] else r for r in root]
+    low, high, _ = imst.spanning_tree(x, y)
+    assert set(zip(low.tolist(), high.tolist())) == want
+
+
+def test_a_long_recording_has_one_tree(spark):
+    rng = np.random.default_rng(4)
+    n = 5000  # more than a piece of 4096 points
+    data = pd.DataFrame({"rec": 1, "ord": np.arange(n), "x": rng.random(n), "y": rng.random(n), "t": np.arange(n) / 90, "w": 1.0, "h": 2.0})
+    df = spark.createDataFrame(data)
+    rows = imst.mst_weight(df, ["rec"], "ord", "t", ("w", "h")).collect()
+    want = imst.spanning_tree(data["x"].to_numpy(), data["y"].to_numpy() / 2)[2]
+    assert len(want) == n - 1 and len(rows) == 1 and rows[0].n_points == n and math.isclose(rows[0].weight, want.sum())
+    found = imst.mst_fixations(df, ["rec"], "ord", "t", ("w", "h")).orderBy("cluster").collect()
+    assert [(r.x, r.y, r.n) for r in found] == imst.cluster_points(data["x"].to_numpy(), data["y"].to_numpy(), 1.0, 2.0)
+
+
 def test_blocks_agree_with_whole_windows(spark, monkeypatch):
     monkeypatch.setattr(ordered, "BLOCK", 16)
     rng = np.random.default_rng(2)
