@@ -5,15 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazeloom.operators.islands import with_running_sums
 from gazeloom.operators.kinematics import step_speed
 from gazeloom.operators.ordered import in_blocks
+from gazeloom.session import cut_lineage
 
 PIECE = 1 << 15
-"""Steps on which one model is fitted. A longer key is labelled piece by piece."""
+"""Steps that one task holds of a key. The model of a longer key is fitted on summaries of its pieces."""
 ROUNDS = 100
 TOLERANCE = 1e-2
 FLOOR = 1e-3
@@ -36,21 +38,180 @@ def hmm_states(df: DataFrame, keys: list[str], order: str, time: str) -> DataFra
     """Adds at (row number) and state of the step from each row to the next: 0 the slower, 1 the faster; null in the last row.
 
     A Gaussian model of two states is fitted by expectation maximisation and decoded by its most
-    likely path, per key, and per PIECE steps of a longer one, so that no task holds more than a
-    piece. It starts from the halves below and above the median speed, so results are repeatable.
+    likely path, per key. It starts from the halves below and above the median speed, so results
+    are repeatable. A key of more than PIECE steps has one model too, which no task holds whole: per
+    round every piece gives its expected counts for each pair of states before it and at its end,
+    and a key's pieces, one row each, are put together. The same goes for the path.
     """
     placed = in_blocks(df, keys, order, 1)
     speeds = step_speed(placed.withColumn("at", F.col("_at")), keys, time)
     steps = speeds.where("speed is not null").select(*keys, F.floor((F.col("at") - 1) / PIECE).alias("piece"), (F.col("at") - 1).alias("at"), "speed")
+    steps = cut_lineage(steps)
     schema = T.StructType([*[steps.schema[k] for k in keys], T.StructField("at", T.LongType()), T.StructField("state", T.IntegerType())])
 
-    def label(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("at")
-        return piece[[*keys, "at"]].assign(state=two_states(piece["speed"].to_numpy()).astype(np.int32))
+    def label(key: pd.DataFrame) -> pd.DataFrame:
+        key = key.sort_values("at")
+        return key[[*keys, "at"]].assign(state=two_states(key["speed"].to_numpy()).astype(np.int32))
 
-    states = steps.groupBy(*keys, "piece").applyInPandas(label, schema)
+    long = steps.groupBy(*keys).agg(F.min("piece").alias("_first"), F.max("piece").alias("_last")).where("_last > _first").select(*keys, "_first")
+    long = cut_lineage(long)  # at most a row per PIECE steps
+    states = steps.join(long, keys, "left_anti").groupBy(*keys).applyInPandas(label, schema)
+    if not long.isEmpty():
+        pieces = steps.join(long, keys).withColumn("piece", F.col("piece") - F.col("_first")).drop("_first")
+        states = states.unionByName(_long_states(cut_lineage(pieces), keys, schema))
     rows = placed.where("_core").withColumn("at", F.col("_at")).drop("_at", "_block", "_core")
-    return rows.join(states, [*keys, "at"], "left")
+    return rows.join(cut_lineage(states), [*keys, "at"], "left")
+
+
+def _halves(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """The model that each key starts from: (keys, model), by the exact median and without a window over a key's rows."""
+    near = steps.groupBy(*keys).agg(F.percentile_approx("speed", [0.499, 0.501], 10000).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    rows = steps.join(near, keys)
+    below = rows.groupBy(*keys).agg(F.count_if(F.col("speed") < F.col("_q")[0]).alias("_below"))
+    middle = rows.where(F.col("speed").between(F.col("_q")[0], F.col("_q")[1])).groupBy(*keys, "_n", "speed").agg(F.count(F.lit(1)).alias("_c")).join(below, keys)
+    upto = F.col("_below") + F.sum("_c").over(W.partitionBy(*keys).orderBy("speed"))  # the distinct speeds of about 0.2 % of a key's rows
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("speed")))
+    median = middle.withColumn("_upto", upto).groupBy(*keys).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias("_median"))
+    most = steps.groupBy(*keys).agg(F.max("speed").alias("_most"))
+    rows = steps.join(median, keys).join(most, keys)
+    high = F.when(F.col("_median") < F.col("_most"), F.col("speed") > F.col("_median")).otherwise(F.col("speed") >= F.col("_most"))
+    low = rows.groupBy(*keys).agg(
+        *[f(F.when(c, F.col("speed"))).alias(n) for n, f, c in (("m0", F.avg, ~high), ("m1", F.avg, high), ("v0", F.var_pop, ~high), ("v1", F.var_pop, high))]
+    )
+    m0, m1, v0, v1 = (F.coalesce(n, o) for n, o in (("m0", "m1"), ("m1", "m0"), ("v0", "v1"), ("v1", "v0")))  # all speeds equal: one half is empty
+    fixed = [F.lit(v) for v in (0.5, 0.5, 0.9, 0.1, 0.1, 0.9)]
+    return low.select(*keys, F.array(m0, m1, v0 + FLOOR, v1 + FLOOR, *fixed).alias("model"))
+
+
+def _long_states(steps: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+    """States of keys of any length, from pieces."""
+    numbers, of = T.ArrayType(T.DoubleType()), [schema[k] for k in keys]
+    state = T.StructType([*of, T.StructField("model", numbers), T.StructField("likelihood", T.DoubleType()), T.StructField("done", T.BooleanType())])
+    piece_state = T.StructType([*of, T.StructField("piece", T.LongType()), *state.fields[len(of) :], T.StructField("values", numbers)])
+
+    def summary(of_piece):
+        def give(piece: pd.DataFrame) -> pd.DataFrame:
+            piece = piece.sort_values("at")
+            values = of_piece(piece["speed"].to_numpy(), np.array(piece["model"].iloc[0]), piece["piece"].iloc[0] == 0)
+            return piece[[*keys, "piece", "model", "likelihood", "done"]].head(1).assign(values=[values.ravel().tolist()])
+
+        return give
+
+    def improve(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("piece")
+        first = pieces[[*keys, "model", "likelihood", "done"]].head(1)
+        model, likelihood = _combined(np.stack(pieces["values"].to_list()).reshape(-1, 2, 2, 12))
+        done = bool(likelihood - first["likelihood"].iloc[0] < TOLERANCE)
+        return first.assign(model=[model.tolist()], likelihood=likelihood, done=done)
+
+    def ends(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("piece")
+        path = _piece_ends(np.stack(pieces["values"].to_list()).reshape(-1, 2, 2))
+        return pieces.assign(values=[[float(a), float(b)] for a, b in path])
+
+    def decode(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values("at")
+        model, (entry, last) = np.array(piece["model"].iloc[0]), piece["values"].iloc[0]
+        path = _best_path(_log_densities(piece["speed"].to_numpy(), model), _entries(model, piece["piece"].iloc[0] == 0)[int(entry)], model[6:].reshape(2, 2), int(last))
+        return piece[[*keys, "at"]].assign(state=(path if model[0] <= model[1] else 1 - path).astype(np.int32))
+
+    models = cut_lineage(_halves(steps, keys).select(*keys, "model", F.lit(float("-inf")).alias("likelihood"), F.lit(False).alias("done")))
+    for _ in range(ROUNDS):
+        if models.where("not done").isEmpty():
+            break
+        pieces = steps.join(models.where("not done"), keys).groupBy(*keys, "piece").applyInPandas(summary(_expected), piece_state)
+        models = cut_lineage(pieces.groupBy(*keys).applyInPandas(improve, state).unionByName(models.where("done").select(*state.names)))
+    pieces = steps.join(models, keys).groupBy(*keys, "piece").applyInPandas(summary(_best_scores), piece_state)
+    placed = cut_lineage(pieces.groupBy(*keys).applyInPandas(ends, piece_state))
+    return steps.join(placed.select(*keys, "piece", "model", "values"), [*keys, "piece"]).groupBy(*keys, "piece").applyInPandas(decode, schema)
+
+
+# A model is ten numbers: means, variances, start and, by row, steps.
+
+
+def _log_densities(speeds: np.ndarray, model: np.ndarray) -> np.ndarray:
+    mean, var = model[:2], model[2:4]
+    return -0.5 * (np.log(2 * np.pi * var) + (speeds[:, None] - mean) ** 2 / var)
+
+
+def _entries(model: np.ndarray, first: bool) -> np.ndarray:
+    """Chances of a piece's first state, by the state before the piece. A key's first piece has none, that is twice the start."""
+    return np.array([model[4:6]] * 2) if first else model[6:].reshape(2, 2)
+
+
+def _expected(speeds: np.ndarray, model: np.ndarray, first: bool) -> np.ndarray:
+    """Twelve numbers for each state before a piece and each state at its end.
+
+    The logarithm of the likelihood; given both states, the chance of state 0 at the first step, the
+    weight, mean and squares about the mean of either state, and the counts of steps inside the piece.
+    """
+    logs, step = _log_densities(speeds, model), model[6:].reshape(2, 2)
+    top = logs.max(1)
+    density = np.exp(logs - top[:, None])
+    out = np.zeros((2, 2, 12))
+    out[:, :, 0] = -np.inf
+    for i, entry in enumerate(_entries(model, first)):
+        alpha, scale = _forward(density, entry, step)
+        for j in np.flatnonzero(alpha[-1] > 0):
+            beta = _backward(density, step, scale, np.eye(2)[j])
+            weight = alpha * beta
+            weight /= weight.sum(1, keepdims=True)
+            pairs = (alpha[:-1].T @ (density[1:] * beta[1:] / scale[1:, None])) * step / alpha[-1, j]
+            total = np.maximum(weight.sum(0), 1e-300)
+            mean = (weight * speeds[:, None]).sum(0) / total
+            square = (weight * (speeds[:, None] - mean) ** 2).sum(0)
+            out[i, j] = [np.log(scale).sum() + top.sum() + np.log(alpha[-1, j]), weight[0, 0], *weight.sum(0), *mean, *square, *pairs.ravel()]
+    return out
+
+
+def _combined(pieces: np.ndarray) -> tuple[np.ndarray, float]:
+    """The next model, and the logarithm of the present one's likelihood, from the numbers of a key's pieces in order."""
+    n, logs = len(pieces), pieces[..., 0]
+    before, after = np.zeros((n + 1, 2)), np.zeros((n + 1, 2))
+    before[0] = [0, -np.inf]
+    for k in range(n):
+        before[k + 1] = np.logaddexp(*(before[k][:, None] + logs[k]))
+    for k in range(n - 1, -1, -1):
+        after[k] = np.logaddexp(*(logs[k] + after[k + 1]).T)
+    likelihood = float(np.logaddexp(*before[n]))
+    chance = np.exp(before[:-1, :, None] + logs + after[1:, None, :] - likelihood)
+    weight = chance[..., None] * pieces[..., 2:4]
+    total = np.maximum(weight.sum((0, 1, 2)), 1e-12)
+    mean = (weight * pieces[..., 4:6]).sum((0, 1, 2)) / total
+    var = (chance[..., None] * pieces[..., 6:8] + weight * (pieces[..., 4:6] - mean) ** 2).sum((0, 1, 2)) / total + FLOOR
+    entered = np.stack([chance * pieces[..., 1], chance * (1 - pieces[..., 1])], -1)
+    pairs = (chance[..., None] * pieces[..., 8:]).sum((0, 1, 2)).reshape(2, 2) + entered[1:].sum((0, 2))
+    return np.concatenate([mean, var, entered[0].sum((0, 1)), (pairs / pairs.sum(1, keepdims=True)).ravel()]), likelihood
+
+
+def _best_scores(speeds: np.ndarray, model: np.ndarray, first: bool) -> np.ndarray:
+    """Logarithm of the best path's likelihood for each state before a piece and each state at its end."""
+    rows = _log_densities(speeds, model).tolist()
+    with np.errstate(divide="ignore"):
+        (a00, a01), (a10, a11) = np.log(model[6:].reshape(2, 2)).tolist()
+        entries = np.log(_entries(model, first)).tolist()
+    out = []
+    for p, q in entries:
+        for i, (l0, l1) in enumerate(rows):
+            if i:
+                p, q = max(p + a00, q + a10), max(p + a01, q + a11)
+            p, q = p + l0, q + l1
+        out.append([p, q])
+    return np.array(out)
+
+
+def _piece_ends(scores: np.ndarray) -> list[tuple[int, int]]:
+    """The states of the best path before and at the end of each of a key's pieces."""
+    best, came = np.array([0, -np.inf]), []
+    for piece in scores:
+        ways = best[:, None] + piece
+        came.append(ways.argmax(0))
+        best = ways.max(0)
+    state, ends = int(best[1] > best[0]), []
+    for back in reversed(came):
+        ends.append((int(back[state]), state))
+        state = ends[-1][0]
+    return ends[::-1]
 
 
 def two_states(speeds: np.ndarray) -> np.ndarray:
@@ -100,10 +261,11 @@ def _forward(density: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[
     return alpha, scale
 
 
-def _backward(density: np.ndarray, step: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    beta = np.ones_like(density)
+def _backward(density: np.ndarray, step: np.ndarray, scale: np.ndarray, last: tuple[float, float] | np.ndarray = (1.0, 1.0)) -> np.ndarray:
+    beta = np.empty_like(density)
+    beta[-1] = last
     (a00, a01), (a10, a11) = step.tolist()
-    p = q = 1.0
+    p, q = map(float, last)
     rows, scales = density.tolist(), scale.tolist()
     for i in range(len(density) - 2, -1, -1):
         d0, d1 = rows[i + 1]
@@ -113,7 +275,7 @@ def _backward(density: np.ndarray, step: np.ndarray, scale: np.ndarray) -> np.nd
     return beta
 
 
-def _best_path(logs: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
+def _best_path(logs: np.ndarray, start: np.ndarray, step: np.ndarray, last: int | None = None) -> np.ndarray:
     with np.errstate(divide="ignore"):
         (a00, a01), (a10, a11) = np.log(step).tolist()
         first = np.log(start)
@@ -124,7 +286,7 @@ def _best_path(logs: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndar
             came[i, 0], came[i, 1] = q + a10 > p + a00, q + a11 > p + a01
             p, q = max(p + a00, q + a10) + l0, max(p + a01, q + a11) + l1
     path = np.zeros(len(logs), int)
-    path[-1] = int(q > p)
+    path[-1] = int(q > p) if last is None else last
     for i in range(len(logs) - 1, 0, -1):
         path[i - 1] = came[i, path[i]]
     return path

@@ -113,6 +113,20 @@ def test_spanning_tree_and_eccentricity():
     assert len({two[v] for v in (0, 1, 2)}) == len({two[v] for v in (3, 4, 5)}) == 1 and two[0] != two[5]
 
 
+def test_hmm_of_a_long_recording_is_one_model(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    truth = np.repeat(rng.integers(0, 2, 30), rng.integers(5, 60, 30))
+    truth[:250] = 0  # several pieces without a saccade
+    speeds = np.abs(np.where(truth, rng.normal(120, 40, len(truth)), rng.normal(40, 20, len(truth)))).round(1)
+    x = np.concatenate([[0], np.cumsum(speeds)])
+    rows = [(1, i, float(v), 0.0, 0.0, float(i)) for i, v in enumerate(x)] + [(2, i, float(i % 3 == 0), 0.0, 0.0, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(ihmm, "PIECE", 64)
+    got = ihmm.hmm_states(df, ["rec"], "ord", "t").where("state is not null").toPandas().sort_values(["rec", "at"])
+    assert (got["state"][got["rec"] == 1] == ihmm.two_states(np.diff(x))).all()
+    assert (got["state"][got["rec"] == 2] == ihmm.two_states(np.abs(np.diff([float(i % 3 == 0) for i in range(40)])))).all()
+
+
 @pytest.mark.parametrize("leaf", (8, 128))
 def test_spanning_tree_with_ties_is_that_of_all_edges(monkeypatch, leaf):
     monkeypatch.setattr(imst, "LEAF", leaf, raising=False)
