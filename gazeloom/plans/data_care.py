@@ -103,7 +103,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The small files rewritten into containers with every record once: their index."""
     packed = consolidate(read(spark, folder, "gaze_files"), "file_id", "path", "content")
-    return packed.select("container_id", "n_files", "n_bytes", F.crc32("block").alias("checksum"))
+    return packed.select("container_id", "n_files", "n_bytes", F.crc32("block").alias("checksum"), "files")
 
 
 PERIODS = """

@@ -25,8 +25,8 @@ def pack_containers(files: DataFrame, ident: str, path: str, content: str, targe
 
     files is an array of (ident, path, offset, length, checksum) by offset, block the files' bytes
     one after the other. A file with empty or null content keeps its place in the index with length
-    0; a file of more than target_bytes gets a container of its own. Repeated rows (same ident) are
-    packed once; files of one path but different ident are all kept. A null ident or path is kept
+    0; a file of more than target_bytes gets a container of its own. Repeated rows (same ident,
+    path and content) are packed once; files that differ in one of them are all kept. A null ident or path is kept
     too. An empty table gives no containers.
 
     Files are dealt to buckets of about BUCKETED_BYTES by hash and packed in order of path within
@@ -35,17 +35,17 @@ def pack_containers(files: DataFrame, ident: str, path: str, content: str, targe
     """
     sized = files.select(
         F.col(ident).alias("ident"), F.col(path).alias("path"), F.encode(F.coalesce(F.col(content).cast("string"), F.lit("")), "UTF-8").alias("bytes")
-    ).dropDuplicates(["ident", "path"])
+    ).withColumn("_hash", F.sha2("bytes", 256)).dropDuplicates(["ident", "path", "_hash"])
     total = files.agg(F.sum(F.octet_length(F.col(content).cast("string")))).first()[0] or 0
     buckets = max(1, -(-total // BUCKETED_BYTES))
     length = F.length("bytes").cast("bigint")
-    before = W.partitionBy("_bucket").orderBy("path", "ident").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_bucket").orderBy("path", "ident", "_hash").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         sized.withColumn("length", length)
         .withColumn("_bucket", F.pmod(F.xxhash64("path", "ident"), F.lit(buckets)))
         .withColumn("_large", F.col("length") > target_bytes)
         .withColumn("_at", F.coalesce(F.sum(F.when(~F.col("_large"), F.col("length")).otherwise(0)).over(before), F.lit(0)))
-        .withColumn("_stretch", F.when(F.col("_large"), -1 - F.row_number().over(W.partitionBy("_bucket").orderBy("path", "ident"))).otherwise(F.floor(F.col("_at") / target_bytes)))
+        .withColumn("_stretch", F.when(F.col("_large"), -1 - F.row_number().over(W.partitionBy("_bucket").orderBy("path", "ident", "_hash"))).otherwise(F.floor(F.col("_at") / target_bytes)))
     )
     packed = placed.groupBy("_bucket", "_stretch").agg(F.array_sort(F.collect_list(F.struct("path", "ident", "_at", "length", "bytes"))).alias("f"))
     first = F.col("f")[0]["_at"]

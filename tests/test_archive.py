@@ -18,6 +18,13 @@ def test_round_trip(spark):
     assert max(n for f, n, _ in sizes.values() if f > 1) < 2000
 
 
+def test_different_content_of_one_name_is_kept(spark):
+    rows = [(1, "a", "abc"), (1, "a", "xy"), (1, "a", "xy"), (None, None, "p"), (None, None, "q")]
+    packed = archive.pack_containers(files(spark, rows), "file_id", "path", "content")
+    got = archive.unpack_containers(packed).collect()
+    assert sorted(r.content for r in got) == ["abc", "p", "q", "xy"] and all(r.intact for r in got)
+
+
 def test_damage_is_seen(spark):
     packed = archive.pack_containers(files(spark, [(1, "a", "abc")]), "file_id", "path", "content")
     damaged = packed.withColumn("block", packed.block.substr(2, 3))
