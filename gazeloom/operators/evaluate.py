@@ -11,24 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gazeloom.operators.ordered import prefix_sums
+from gazeloom.operators.ordered import BEFORE, ranged
 from gazeloom.session import cut_lineage
 
-POSITION_CHUNKS = 1 << 10
 
 
 def positions(df: DataFrame, order: str, out: str = "at") -> DataFrame:
-    """Adds the 0-based position of each row by a whole-number order, and n, the number of rows, without one window over all.
+    """Adds the 0-based position of each row by order, and n, the number of rows; nulls come first.
 
-    Rows are cut into chunks of POSITION_CHUNKS of the order, whose counts are added up first.
+    Rows are sorted into ranges (ordered.ranged); the ranges' counts, a row each, are added up and
+    broadcast. order may be of any type that can be sorted; ties fall in any order.
     """
-    chunk = F.floor(F.col(order) / POSITION_CHUNKS)
-    rows = df.withColumn("_one", F.lit(1)).withColumn("_chunk", chunk)
-    counts = prefix_sums(rows, ["_one"], "_chunk", {"_before": F.lit(1)})
-    total = rows.groupBy("_one").agg(F.count(F.lit(1)).alias("n"))
-    inside = W.partitionBy("_chunk").orderBy(order)
-    placed = rows.withColumn("_inside", F.row_number().over(inside) - 1).join(counts, ["_one", "_chunk"]).join(F.broadcast(total), "_one")  # one row
-    return placed.withColumn(out, F.col("_before") + F.col("_inside")).drop("_one", "_chunk", "_before", "_inside")
+    rows = ranged(df, [order])
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(*BEFORE)  # a row per range
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("n"))
+    placed = rows.join(F.broadcast(counts), "_part")
+    return placed.withColumn(out, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
 
 
 def ratio_split(df: DataFrame, order: str, share: float) -> DataFrame:
@@ -53,12 +52,18 @@ def hashed_folds(df: DataFrame, ident: str, folds: int, seed: int = 42) -> DataF
 def auc(df: DataFrame, by: list[str], truth: str, score: str) -> DataFrame:
     """Area under the ROC curve per group, exact, ties counting half; null without both classes.
 
-    Scores are counted per value first; the cumulative sum runs over distinct scores.
+    Scores are counted per value first. The cumulative sum runs over distinct scores, within ranges
+    of (by, score) on top of the ranges before, so a continuous score isn't gathered in one task.
     """
-    counts = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score)
-    counts = counts.agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("_w", F.col("p") * (below + F.col("q") / 2))
+    counts = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("q"))
+    rows = ranged(counts, [*by, score])
+    parts = rows.groupBy(*by, "_part").agg(F.sum("q").alias("_q"))  # a row per range and group in it
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(*BEFORE)
+    parts = parts.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_part").alias("_p"), F.coalesce(F.sum("_q").over(earlier), F.lit(0)).alias("_before"))
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.col("_part") == F.col("_p"))
+    inside = W.partitionBy(*by, "_part").orderBy(score).rowsBetween(*BEFORE)
+    below = F.col("_before") + F.coalesce(F.sum("q").over(inside), F.lit(0))
+    wins = rows.join(parts, same).withColumn("_w", F.col("p") * (below + F.col("q") / 2))
     sums = wins.groupBy(*by).agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), F.sum("_w").alias("_w"))
     return sums.withColumn("auc", F.try_divide(F.col("_w"), F.col("n_positive") * F.col("n_negative"))).drop("_w")
 

@@ -11,19 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gazeloom.session import cut_lineage
+
 BEFORE = (W.unboundedPreceding, -1)
+SPAN = 1 << 14
+"""Chunks of a key that one window over chunks holds; spans of chunks are added up one level higher."""
 
 
 def prefix_sums(df: DataFrame, keys: list[str], chunk: str, sums: dict[str, Column]) -> DataFrame:
     """Per (keys, chunk): for each name of sums, its total over the key's earlier chunks.
 
-    One row per chunk leaves the partial aggregation, so the window sees a summary only.
+    One row per chunk leaves the partial aggregation. Sums run in two levels: over the chunks of a
+    span of SPAN chunk numbers, on top of the totals of the spans before. So a window stays small
+    also where the order is sparse (microseconds since an epoch, say) and each chunk has few rows.
     """
-    totals = df.groupBy(*keys, chunk).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    earlier = W.partitionBy(*keys).orderBy(chunk).rowsBetween(*BEFORE)
-    return totals.select(
-        *keys, chunk, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums]
-    )
+    totals = df.groupBy(*keys, chunk).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("_span", F.floor(F.col(chunk) / SPAN))
+    totals = totals.repartition(*keys, "_span")
+    spans = totals.groupBy(*keys, "_span").agg(*[F.sum(n).alias(n) for n in sums])
+    upto = W.partitionBy(*keys).orderBy("_span").rowsBetween(*BEFORE)
+    none = F.lit(0)
+    spans = spans.select(*keys, "_span", *[F.coalesce(F.sum(n).over(upto), none).alias(f"_s{i}") for i, n in enumerate(sums)])
+    inside = W.partitionBy(*keys, "_span").orderBy(chunk).rowsBetween(*BEFORE)
+    within = totals.select(*keys, chunk, "_span", *[F.coalesce(F.sum(n).over(inside), none).alias(n) for n in sums])
+    return within.join(spans, [*keys, "_span"]).select(*keys, chunk, *[(F.col(n) + F.col(f"_s{i}")).alias(n) for i, n in enumerate(sums)])
 
 
 def with_position(df: DataFrame, keys: list[str], chunk: str, order: list[str], out: str) -> DataFrame:
@@ -54,8 +64,12 @@ def with_previous(df: DataFrame, keys: list[str], chunk: str, order: list[str],
 def _with_neighbour(df, keys, chunk, order, fields, out, forward):
     sort, value = F.struct(*order), F.struct(*fields)
     pick, step = (F.min_by, F.lead) if forward else (F.max_by, F.lag)
-    edge = df.groupBy(*keys, chunk).agg(pick(value, sort).alias("_edge"))
-    edge = edge.select(*keys, chunk, step("_edge").over(W.partitionBy(*keys).orderBy(chunk)).alias("_edge"))
+    edge = df.groupBy(*keys, chunk).agg(pick(value, sort).alias("_own")).withColumn("_span", F.floor(F.col(chunk) / SPAN)).repartition(*keys, "_span")
+    # a span's edge is that of its chunk nearest to the neighbouring span
+    spans = edge.groupBy(*keys, "_span").agg((F.min_by if forward else F.max_by)("_own", chunk).alias("_far"))
+    spans = spans.select(*keys, "_span", step("_far").over(W.partitionBy(*keys).orderBy("_span")).alias("_far"))
+    edge = edge.withColumn("_edge", step("_own").over(W.partitionBy(*keys, "_span").orderBy(chunk))).join(spans, [*keys, "_span"])
+    edge = edge.select(*keys, chunk, F.coalesce("_edge", "_far").alias("_edge"))
     inside = W.partitionBy(*keys, chunk).orderBy(*order)
     return (
         df.withColumn("_inside", step(value).over(inside))
@@ -65,6 +79,18 @@ def _with_neighbour(df, keys, chunk, order, fields, out, forward):
     )
 
 
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows sorted into ranges of order, written once: adds _part (number of the range) and _inside (0-based place in it).
+
+    Ranges are of about equal size whatever the values are, and rise with order. What must cross a
+    range's edge goes through a summary of one row per range. Ties fall in any order.
+    """
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    rows = cut_lineage(sorted_rows)
+    return rows.select(*df.columns, F.shiftright("_place", 33).alias("_part"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_inside"))
+
+
 def clean_number(column: Column | str) -> Column:
     """The column with NaN as null."""
     column = F.col(column) if isinstance(column, str) else column

@@ -23,24 +23,43 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, after: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Writes df as a table into the cluster's checkpoint folder and continues from there.
 
-    The folder is spark.checkpoint.dir, which all executors share. Only where a session has none
-    (tests, a single machine) is a temporary one taken. A table rather than checkpoint(): that one
-    hands on the constraints of the plan it cuts, which grow without end in a loop. The tables are
-    deleted when the session's JVM ends.
+    The folder is spark.checkpoint.dir, which all executors share. Only a local session without one
+    (tests, a single machine) takes a temporary folder; on a cluster that is an error, as every
+    executor would write to a disk of its own. A table rather than checkpoint(): that one hands on
+    the constraints of the plan it cuts, which grow without end in a loop. after: earlier tables
+    that nothing reads any more once this one is written; they are deleted. The others are deleted
+    when the session's JVM ends.
     """
     spark = df.sparkSession
+    context = spark.sparkContext
+    path = f"{_table_folder(spark)}/table-{uuid.uuid4().hex}"
+    _on_files(context, path, "deleteOnExit")
+    df.write.parquet(path)
+    for table in after:
+        if (old := getattr(table, "_lineage_table", None)) is not None:
+            _on_files(context, old, "delete", True)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._lineage_table = path
+    return written
+
+
+def _table_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not (context.master or "").startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = context.getCheckpointDir()
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/table-{uuid.uuid4().hex}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
+    return folder
+
+
+def _on_files(context, path: str, method: str, *args) -> None:
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(place.getFileSystem(context._jsc.hadoopConfiguration()), method)(place, *args)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

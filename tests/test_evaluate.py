@@ -18,8 +18,31 @@ def test_auc_with_ties(spark):
     assert got[3] is None
 
 
-def test_folds_and_splits(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "POSITION_CHUNKS", 4)
+def test_auc_of_a_continuous_score_and_null_groups(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else i % 3, rng.randrange(2), rng.random()) for i in range(900)]
+    got = {r.k: r.auc for r in evaluate.auc(spark.createDataFrame(rows, "k int, y int, s double").repartition(7), ["k"], "y", "s").collect()}
+    for k in (None, 1, 2):
+        p, q = ([s for i, y, s in rows if i == k and y == t] for t in (1, 0))
+        assert abs(got[k] - np.mean([(a > b) + (a == b) / 2 for a in p for b in q])) < 1e-12
+
+
+def test_positions_of_sparse_orders(spark):
+    times = [1_700_000_000_000_000 + i * 11_111_111 for i in range(500)]
+    rows = spark.createDataFrame([(t, str(t)) for t in random.Random(2).sample(times, 500)], "t bigint, s string")
+    for order in ("t", "s"):
+        got = evaluate.positions(rows, order).orderBy("t").collect()
+        assert [r["at"] for r in got] == list(range(500)) and {r["n"] for r in got} == {500}
+    assert evaluate.positions(rows.limit(0), "t").count() == 0
+
+
+def test_no_task_holds_all_rows(spark):
+    plan = evaluate.positions(spark.range(1000), "id")._jdf.queryExecution().executedPlan().toString()
+    windows = plan.count("Exchange SinglePartition")
+    assert windows <= 1 and "rangepartitioning" not in plan  # the counts of the ranges; the rows are read from a table
+
+
+def test_folds_and_splits(spark):
     ids = spark.createDataFrame([(i * 3,) for i in range(11)], "id bigint")
     folds = [r.fold for r in evaluate.positional_folds(ids, "id", 5).orderBy("id").collect()]
     assert folds == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, None]
