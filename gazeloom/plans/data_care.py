@@ -10,8 +10,8 @@ from gazeloom.operators.intervals import covered_periods, fixation_intervals
 from gazeloom.operators.parse_errors import parse_gaze_lines, parse_meta_objects
 from gazeloom.operators.spikes import spike_flags
 from gazeloom.plans.registry import Registry
-from gazeloom.session import read
-from gazeloom.sources.archive import consolidate, gaze_file_records, intact_files, pack_containers, repeated_records
+from gazeloom.session import read, scratch_folder
+from gazeloom.sources.archive import GAZE_COLUMNS, consolidate, gaze_file_records, intact_files, pack_containers, read_containers, repeated_records, write_containers
 
 REGISTRY = Registry()
 # The spellings of gaze_point_validity that mean valid.
@@ -92,18 +92,42 @@ def p4_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder)
 
 
-@REGISTRY.add()
+HEADER = ",".join(GAZE_COLUMNS)
+RECORDS = f"""
+with l as (select unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) as line from (select distinct file_id, path, content from gaze_files)),
+v as (select string_split(line, ',') as v from l where line <> '' and lower(trim(line)) <> '{HEADER}'),
+f as (select trim(v[7]) as fname, trim(v[6]) as radiologist, trim(v[3]) as ts from v),
+k as (select fname, radiologist, coalesce(cast(round(try_cast(ts as decimal(38, 9)) * 1000000) as bigint), cast(round(try_cast(ts as double) * 1000000) as bigint)) as ts_us from f)
+select fname, radiologist, ts_us from k where fname is not null and radiologist is not null and ts_us is not null group by all
+"""
+
+
+@REGISTRY.add(RECORDS + "having count(*) > 1")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The records that occur more than once in all files together, read from the containers."""
     containers = pack_containers(read(spark, folder, "gaze_files"), "file_id", "path", "content")
     return repeated_records(gaze_file_records(intact_files(containers))).select("fname", "radiologist", "ts_us")
 
 
+def _rewritten(spark: SparkSession, folder: str) -> str:
+    """The folder of written containers in which every record is once."""
+    written = scratch_folder(spark)
+    write_containers(consolidate(read(spark, folder, "gaze_files"), "file_id", "path", "content"), written)
+    return written
+
+
 @REGISTRY.add()
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """The small files rewritten into containers with every record once: their index."""
-    packed = consolidate(read(spark, folder, "gaze_files"), "file_id", "path", "content")
-    return packed.select("container_id", "n_files", "n_bytes", F.crc32("block").alias("checksum"), "files")
+    """The small files rewritten into containers with every record once: the index, one row per packed file."""
+    index = spark.read.parquet(f"{_rewritten(spark, folder)}/index")
+    return index.select("container_id", F.col("ident").alias("file_id"), "path", "offset", "length", "checksum")
+
+
+@REGISTRY.add(RECORDS)
+def p6_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of the written containers, read back from them, as often as it is there."""
+    records = gaze_file_records(intact_files(read_containers(spark, _rewritten(spark, folder))))
+    return records.select("fname", "radiologist", "ts_us").dropna()
 
 
 PERIODS = """

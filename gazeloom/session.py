@@ -46,6 +46,13 @@ def cut_lineage(df: DataFrame, after: tuple[DataFrame, ...] = ()) -> DataFrame:
     return written
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The name of a new folder beside the tables of cut_lineage, deleted when the session's JVM ends."""
+    path = f"{_table_folder(spark)}/files-{uuid.uuid4().hex}"
+    _on_files(spark.sparkContext, path, "deleteOnExit")
+    return path
+
+
 def _table_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
