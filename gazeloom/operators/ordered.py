@@ -27,13 +27,14 @@ def prefix_sums(df: DataFrame, keys: list[str], chunk: str, sums: dict[str, Colu
     """
     totals = df.groupBy(*keys, chunk).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("_span", F.floor(F.col(chunk) / SPAN))
     totals = totals.repartition(*keys, "_span")
-    spans = totals.groupBy(*keys, "_span").agg(*[F.sum(n).alias(n) for n in sums])
+    spans = totals.groupBy(*keys, "_span").agg(*[F.sum(n).alias(n) for n in sums], F.max(chunk).alias("_most"))
     upto = W.partitionBy(*keys).orderBy("_span").rowsBetween(*BEFORE)
     none = F.lit(0)
-    spans = spans.select(*keys, "_span", *[F.coalesce(F.sum(n).over(upto), none).alias(f"_s{i}") for i, n in enumerate(sums)])
+    spans = spans.select(*keys, "_span", "_most", *[F.coalesce(F.sum(n).over(upto), none).alias(f"_s{i}") for i, n in enumerate(sums)])
     inside = W.partitionBy(*keys, "_span").orderBy(chunk).rowsBetween(*BEFORE)
     within = totals.select(*keys, chunk, "_span", *[F.coalesce(F.sum(n).over(inside), none).alias(n) for n in sums])
-    return within.join(spans, [*keys, "_span"]).select(*keys, chunk, *[(F.col(n) + F.col(f"_s{i}")).alias(n) for i, n in enumerate(sums)])
+    # the condition always holds; with it both sides need all columns, so they are the same shuffle
+    return within.join(spans, [*keys, "_span"]).where(F.col(chunk) <= F.col("_most")).select(*keys, chunk, *[(F.col(n) + F.col(f"_s{i}")).alias(n) for i, n in enumerate(sums)])
 
 
 def with_position(df: DataFrame, keys: list[str], chunk: str, order: list[str], out: str) -> DataFrame:
@@ -66,7 +67,7 @@ def _with_neighbour(df, keys, chunk, order, fields, out, forward):
     pick, step = (F.min_by, F.lead) if forward else (F.max_by, F.lag)
     edge = df.groupBy(*keys, chunk).agg(pick(value, sort).alias("_own")).withColumn("_span", F.floor(F.col(chunk) / SPAN)).repartition(*keys, "_span")
     # a span's edge is that of its chunk nearest to the neighbouring span
-    spans = edge.groupBy(*keys, "_span").agg((F.min_by if forward else F.max_by)("_own", chunk).alias("_far"))
+    spans = edge.groupBy(*keys, "_span").agg((F.min_by if forward else F.max_by)("_own", chunk).alias("_far"))  # reads all columns, so both sides share the shuffle
     spans = spans.select(*keys, "_span", step("_far").over(W.partitionBy(*keys).orderBy("_span")).alias("_far"))
     edge = edge.withColumn("_edge", step("_own").over(W.partitionBy(*keys, "_span").orderBy(chunk))).join(spans, [*keys, "_span"])
     edge = edge.select(*keys, chunk, F.coalesce("_edge", "_far").alias("_edge"))

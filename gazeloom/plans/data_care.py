@@ -49,7 +49,7 @@ def _spikes(spark: SparkSession, folder: str) -> DataFrame:
     screens = read(spark, folder, "trackers").select("tracker_id", "screen_w", "screen_h")
     gaze = read(spark, folder, "gaze").join(screens, "tracker_id", "left")
     limits = {a: (F.col(size) * -0.1, F.col(size) * 1.1) for a, size in (("x", "screen_w"), ("y", "screen_h"))}
-    hour = F.floor(F.col("timestamp") / 3600)
+    hour = F.floor(F.col("timestamp") / 3600) % 24
     return spike_flags(gaze, ["recording_id"], "ord", ["x", "y"], F.col("gaze_point_validity").isin(*VALID), limits, hour)
 
 

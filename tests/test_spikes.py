@@ -25,7 +25,13 @@ def brute(rows):
             v, o, w = g[axis].to_numpy(), g["ord"].to_numpy(), g["w"].to_numpy()
             bad = (v < -0.1 * w) | (v > 1.1 * w)
             steps = np.diff(v)[~bad[1:]]
-            scatter = np.subtract(*np.percentile(steps, [75, 25])) / spikes.IQR_OF_DIFFERENCES if len(steps) else 0
+            whole = np.subtract(*np.percentile(steps, [75, 25])) / spikes.IQR_OF_DIFFERENCES if len(steps) else 0
+            by_hour = {}
+            for h in g["hour"].unique():
+                own = np.diff(v)[(~bad[1:]) & (g["hour"].to_numpy()[1:] == h)]
+                s_h = np.subtract(*np.percentile(own, [75, 25])) / spikes.IQR_OF_DIFFERENCES if len(own) else whole
+                by_hour[h] = (s_h * len(own) + whole * spikes.PRIOR) / (len(own) + spikes.PRIOR)
+            scatters = [by_hour[h] for h in g["hour"]]
             run = np.cumsum(np.append(True, v[1:] != v[:-1]))
             stuck = np.array([(run == r).sum() >= spikes.STUCK_RUN for r in run])
             spike = np.zeros(len(v), bool)
@@ -33,6 +39,7 @@ def brute(rows):
                 for s in range(1, len(v) - k):
                     a, b = v[s - 1], v[s + k]
                     moving = min(abs(a - v[s - 2]) if s > 1 else 0, abs(v[s + k + 1] - b) if s + k + 1 < len(v) else 0)
+                    scatter = scatters[s]
                     if scatter > 0 and abs(a - b) <= 6 * scatter and moving <= 6 * scatter and (abs(v[s : s + k] - (a + b) / 2) > 10 * scatter).all():
                         spike[s : s + k] = True
             for i in np.flatnonzero(bad | stuck | spike):
@@ -61,6 +68,21 @@ def test_against_readings_one_by_one(spark, monkeypatch, chunk):
     assert got == want and {k for f in want.values() for k, on in zip("isp", f) if on} == set("isp")
 
 
+def test_noise_by_hour(spark):
+    """The same jump is a spike in a quiet hour and none in a noisy one."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(12_000):
+        noise = 1.0 if i < 6000 else 20.0
+        x = 500 + rng.normal(0, noise) + (40 if i in (3000, 9000) else 0)
+        rows.append((1, i, float(x), None, True, 1000, i // 6000, None, None))
+    got = flags(spark, rows)
+    assert got.get((1, 3000, "x")) == (False, False, True) and (1, 9000, "x") not in got
+    alike = flags(spark, [(*r[:6], 0, None, None) for r in rows])
+    count = lambda f: sum(k[1] >= 6000 for k in f)
+    assert count(alike) > 10 * max(count(got), 1)  # one fence for both hours is too narrow for the noisy one
+
+
 def test_edges(spark):
     assert flags(spark, []) == {}
     row = lambda rec, i, x, **kw: (rec, i, x, kw.get("y"), kw.get("ok", True), kw.get("w"), None, None, None)
