@@ -11,78 +11,123 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUOTE, DELIMITER, JUNK = 1 << 40, 1, 1 << 20
-"""Costs of an edit. Quotes outweigh delimiters, so that only a line that isn't well quoted gets them."""
-
 PARSED = T.StructType(
-    [
-        T.StructField("cost", T.LongType()),
-        T.StructField("edits", T.StringType()),
-        T.StructField("fields", T.ArrayType(T.StringType())),
-    ]
+    [T.StructField(n, T.LongType()) for n in ("quotes", "texts", "delimiters")] + [T.StructField("edits", T.StringType()), T.StructField("fields", T.ArrayType(T.StringType()))]
 )
 
 
+class Cost(NamedTuple):
+    """Numbers of edits, in order of weight: one of quotes outweighs all of text, that all of delimiters.
+
+    So only a line that isn't well quoted gets edits of quotes.
+    """
+
+    quotes: int = 0
+    texts: int = 0
+    delimiters: int = 0
+
+
+FREE, QUOTE, TEXT, DELIMITER = Cost(), Cost(quotes=1), Cost(texts=1), Cost(delimiters=1)
+
+
 @dataclass(frozen=True)
 class Step:
     """A move of the parser: cost, the state it leads to, the symbols it reads, the edit it makes."""
 
-    cost: int
+    cost: Cost
     state: tuple
     reads: int
     edit: str
 
 
-TRACED = 4096
-"""Symbols up to which the edits are listed one by one; of a longer record they are counted."""
+FAR = 1 << 61
 
 
-def cheapest(symbols: str, start: tuple, steps, final) -> tuple[int, str]:
-    """The least cost of reading all symbols from start to a final state, and the edits made.
+class Grammar:
+    """A parser's moves as one matrix per symbol: the cheapest way from state to state that reads it.
 
-    steps(state, symbol) yields moves (symbol is '' at the end). Moves that read nothing lead
-    between states at the same place and are relaxed until no cost falls. Only two places' states
-    are held at a time, besides the way back through a record of at most TRACED symbols.
+    steps(state, symbol) yields moves (symbol is '' at the end). Moves that read nothing lead between
+    states at the same place, so a way is any number of them and one that reads.
     """
-    here: dict[tuple, int] = {start: 0}
-    back: dict[tuple, tuple] = {}
-    traced = len(symbols) <= TRACED
-    for i in range(len(symbols) + 1):
-        symbol = symbols[i] if i < len(symbols) else ""
-        after: dict[tuple, int] = {}
-        todo = sorted(here, key=here.get)
+
+    def __init__(self, start: tuple, steps: Callable[[tuple, str], Iterator[Step]], symbols: str, final: Callable[[tuple], bool]):
+        self.states = [start]
+        number = {start: 0}
+        for state in self.states:  # grows
+            for symbol in ("", *symbols):
+                for step in steps(state, symbol):
+                    if step.state not in number:
+                        number[step.state] = len(self.states)
+                        self.states.append(step.state)
+        self.ways = {symbol: [self._ways(state, symbol, steps, number) for state in self.states] for symbol in ("", *symbols)}
+        self.final = [i for i, state in enumerate(self.states) if final(state)]
+
+    @staticmethod
+    def _ways(state: tuple, symbol: str, steps, number: dict) -> dict[int, tuple[Cost, tuple[str, ...]]]:
+        """State reached: (cost, edits), after reading symbol or, at the end, without reading."""
+        best: dict[tuple, tuple[Cost, tuple[str, ...]]] = {state: (FREE, ())}
+        reached: dict[int, tuple[Cost, tuple[str, ...]]] = {}
+        todo = [state]
         while todo:
-            state = todo.pop(0)
-            for step in steps(state, symbol):
-                there, total = (after if step.reads else here), here[state] + step.cost
-                if total < there.get(step.state, 1 << 62):
-                    there[step.state] = total
-                    if traced:
-                        back[i + step.reads, step.state] = (i, state, step.edit)
-                    if not step.reads:
-                        todo.append(step.state)
-        if symbol:
-            here = after
-    cost, state = min((c, s) for s, c in here.items() if final(s))
-    if not traced:
-        kinds = (("quote", cost // QUOTE), ("text", cost % QUOTE // JUNK), ("delimiter", cost % JUNK))
-        return cost, " ".join(f"{n}x{kind}" for kind, n in kinds if n)
-    edits, at = [], (len(symbols), state)
-    while at in back:
-        i, state, edit = back[at]
-        if edit:
-            edits.append(f"{edit}@{i}")
-        at = (i, state)
-    return cost, " ".join(reversed(edits))
+            here = todo.pop(0)
+            cost, edits = best[here]
+            for step in steps(here, symbol):
+                total = Cost(*map(sum, zip(cost, step.cost))), edits + ((step.edit,) if step.edit else ())
+                if step.reads and total < reached.get(number[step.state], (Cost(FAR),)):
+                    reached[number[step.state]] = total
+                elif not step.reads and total < best.get(step.state, (Cost(FAR),)):
+                    best[step.state] = total
+                    todo.append(step.state)
+        return reached if symbol else {number[s]: w for s, w in best.items()}
+
+    def cheapest(self, symbols: str) -> tuple[Cost, str]:
+        """The least cost of reading all symbols from the start to a final state, and the edits made.
+
+        Per place and state one byte leads the way back, so edits are listed for records of any
+        length. Costs are held relative to the place's least, so they stay small.
+        """
+        base = 4 * len(symbols) + 64  # more edits than any cheapest way makes
+        weigh = lambda c: (c.quotes * base + c.texts) * base + c.delimiters
+        n = len(self.states)
+        matrices = {}
+        for symbol in {"", *symbols}:
+            matrix = matrices[symbol] = np.full((n, n), FAR)  # to, from
+            for s, ways in enumerate(self.ways[symbol]):
+                for t, (cost, _) in ways.items():
+                    matrix[t, s] = weigh(cost)
+        here = np.full(n, FAR)
+        here[0] = 0
+        total, rows = 0, np.arange(n)
+        came = np.empty((len(symbols) + 1, n), np.uint8)
+        for i, symbol in enumerate((*symbols, "")):
+            ways = matrices[symbol] + here
+            best = ways.argmin(1)
+            came[i] = best
+            here = ways[rows, best]
+            least = int(here.min())
+            total += least
+            here = np.minimum(here - least, FAR)
+        end = min(self.final, key=lambda s: (here[s], s))
+        total += int(here[end])
+        edits, at = [], end
+        for i in range(len(symbols), -1, -1):
+            before = int(came[i, at])
+            made = self.ways[symbols[i] if i < len(symbols) else ""][before][at][1]
+            edits += [f"{e}@{i}" for e in reversed(made)]
+            at = before
+        high, delimiters = divmod(total, base)
+        return Cost(*divmod(high, base), delimiters), " ".join(reversed(edits))
 
 
 # --- CSV -----------------------------------------------------------------------------------------
@@ -103,32 +148,37 @@ def csv_steps(width: int):
         place, field = state
         if symbol == '"':
             if place in (BEGIN, CLOSED):  # opens, or is the second of a doubled quote
-                yield Step(0, (QUOTED, field), 1, "")
+                yield Step(FREE, (QUOTED, field), 1, "")
             elif place == QUOTED:
-                yield Step(0, (CLOSED, field), 1, "")
+                yield Step(FREE, (CLOSED, field), 1, "")
             yield Step(QUOTE, state, 1, "-quote")
         elif symbol == "x":
             if place in (BEGIN, PLAIN):
-                yield Step(0, (PLAIN, field), 1, "")
+                yield Step(FREE, (PLAIN, field), 1, "")
             elif place == QUOTED:
-                yield Step(0, state, 1, "")
+                yield Step(FREE, state, 1, "")
         elif symbol == ",":
             if place == QUOTED:
-                yield Step(0, state, 1, "")
+                yield Step(FREE, state, 1, "")
             else:
                 if field < width:
-                    yield Step(0, (BEGIN, field + 1), 1, "")
+                    yield Step(FREE, (BEGIN, field + 1), 1, "")
                 yield Step(DELIMITER, (BEGIN, field), 1, "-delimiter")
         if symbol in ("", ",") and place != QUOTED and field < width:
             yield Step(DELIMITER, (BEGIN, field + 1), 0, "+delimiter")
-        if place in (QUOTED, CLOSED):
+        if place != PLAIN:
             yield Step(QUOTE, (CLOSED if place == QUOTED else QUOTED, field), 0, "+quote")
 
     return steps
 
 
-def csv_parse(structure: str, width: int) -> tuple[int, str]:
-    return cheapest(structure, (BEGIN, 1), csv_steps(width), lambda s: s[0] != QUOTED and s[1] == width)
+@lru_cache
+def csv_grammar(width: int) -> Grammar:
+    return Grammar((BEGIN, 1), csv_steps(width), '",x', lambda s: s[0] != QUOTED and s[1] == width)
+
+
+def csv_parse(structure: str, width: int) -> tuple[Cost, str]:
+    return csv_grammar(width).cheapest(structure)
 
 
 def csv_fields(line: str) -> list[str]:
@@ -197,12 +247,12 @@ def json_steps(state: tuple, symbol: str) -> Iterator[Step]:
         (COLON, ":"): VALUE, (VALUE, "s"): NEXT, (VALUE, "n"): NEXT, (NEXT, ","): KEY, (NEXT, "}"): DONE,
     }
     if (place, symbol) in reads:
-        yield Step(0, (reads[place, symbol],), 1, "")
+        yield Step(FREE, (reads[place, symbol],), 1, "")
     if symbol in ("n", "w") and place in (KEY_OR_END, KEY, VALUE):
-        yield Step(2 * QUOTE, (NEXT if place == VALUE else COLON,), 1, "+quote")
+        yield Step(Cost(quotes=2), (NEXT if place == VALUE else COLON,), 1, "+quote")
     if symbol:
         kind = "-quote" if symbol in ('"', "s") else "-delimiter" if symbol in "{}[]:," else "-text"
-        yield Step(QUOTE if kind == "-quote" else DELIMITER if kind == "-delimiter" else JUNK, state, 1, kind)
+        yield Step(QUOTE if kind == "-quote" else DELIMITER if kind == "-delimiter" else TEXT, state, 1, kind)
     inserted = {OUTSIDE: KEY_OR_END, COLON: VALUE, NEXT: DONE}
     if place in inserted:
         yield Step(DELIMITER, (inserted[place],), 0, "+delimiter")
@@ -213,66 +263,71 @@ def json_steps(state: tuple, symbol: str) -> Iterator[Step]:
     if place == KEY_OR_END:
         yield Step(DELIMITER, (DONE,), 0, "+delimiter")
     if place in (KEY, VALUE):
-        yield Step(2 * QUOTE, (COLON if place == KEY else NEXT,), 0, "+quote")
+        yield Step(Cost(quotes=2), (COLON if place == KEY else NEXT,), 0, "+quote")
 
 
-def json_parse(structure: str) -> tuple[int, str]:
-    return cheapest(structure, (OUTSIDE,), json_steps, lambda s: s[0] == DONE)
+@lru_cache
+def json_grammar() -> Grammar:
+    return Grammar((OUTSIDE,), json_steps, '{}[]:,"snw', lambda s: s[0] == DONE)
+
+
+def json_parse(structure: str) -> tuple[Cost, str]:
+    return json_grammar().cheapest(structure)
+
+
+USUAL = 256
+"""Symbols up to which a structure's parse is remembered; longer ones are parsed each time."""
 
 
 @lru_cache(maxsize=1 << 14)
-def _known(parse, *args):
+def _remembered(parse, *args):
     return parse(*args)
 
 
-def solved(parse, structure: str, *args) -> tuple[int, str]:
+def solved(parse, structure: str, *args) -> tuple[Cost, str]:
     """parse(structure, *args), remembered for the structures of usual length."""
-    return _known(parse, structure, *args) if len(structure) <= TRACED else parse(structure, *args)
+    return _remembered(parse, structure, *args) if len(structure) <= USUAL else parse(structure, *args)
 
 
-# --- operators -----------------------------------------------------------------------------------
+def _csv_record(text: str, width: int) -> tuple:
+    cost, edits = solved(csv_parse, csv_structure(text), width)
+    return *cost, edits, None if any(cost) else csv_fields(text)
 
 
-def parse_csv(line: Column, width: int) -> Column:
-    """Struct (cost, edits, fields) of each CSV line of width fields; fields where cost is 0.
+def _json_record(text: str) -> tuple:
+    symbols, tokens = json_structure(text)
+    cost, edits = solved(json_parse, symbols)
+    fields = None
+    if not any(cost):  # { key : value , key : value }
+        scalars = [t for t, s in zip(tokens, symbols) if s in "sn"]
+        fields = [json.loads(t) if i % 2 == 0 else t for i, t in enumerate(scalars)]
+    return *cost, edits, fields
 
-    Null lines have a null struct.
-    """
 
-    @F.pandas_udf(PARSED)
-    def parse(lines: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in lines:
-            if text is None:
-                rows.append((None, None, None))
-                continue
-            cost, edits = solved(csv_parse, csv_structure(text), width)
-            rows.append((cost, edits, None if cost else csv_fields(text)))
-        return pd.DataFrame(rows, columns=PARSED.names).astype({"cost": "Int64"})
+# --- operators -----------------------------------------------------------------------------------
 
-    return parse.asNondeterministic()(line)  # so that a filter on its result doesn't run it again
 
+def parse_records(kind: Column, raw: Column, widths: dict[str, int], objects: tuple[str, ...]) -> Column:
+    """Struct (quotes, texts, delimiters, edits, fields) of each record, its columns' counts being those of the edits.
 
-def parse_json(text: Column) -> Column:
-    """Struct (cost, edits, fields) of each JSON object; fields are key, value, key, value, ... as written."""
+    A record whose kind is in widths is a CSV line of that many fields, one whose kind is in objects
+    a JSON object; others, and null records, have a null struct. fields are given where there are no
+    edits: the values of a line; key, value, key, value, ... as written of an object.
+    """
 
     @F.pandas_udf(PARSED)
-    def parse(texts: pd.Series) -> pd.DataFrame:
+    def parse(kinds: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in texts:
-            if text is None:
-                rows.append((None, None, None))
-                continue
-            symbols, tokens = json_structure(text)
-            cost, edits = solved(json_parse, symbols)
-            fields = None
-            if not cost:  # { key : value , key : value }
-                scalars = [t for t, s in zip(tokens, symbols) if s in "sn"]
-                fields = [json.loads(t) if i % 2 == 0 else t for i, t in enumerate(scalars)]
-            rows.append((cost, edits, fields))
-        return pd.DataFrame(rows, columns=PARSED.names).astype({"cost": "Int64"})
-
-    return parse.asNondeterministic()(text)
+        for k, text in zip(kinds, texts):
+            if text is not None and k in widths:
+                rows.append(_csv_record(text, widths[k]))
+            elif text is not None and k in objects:
+                rows.append(_json_record(text))
+            else:
+                rows.append((None,) * 5)
+        return pd.DataFrame(rows, columns=PARSED.names).astype({n: "Int64" for n in PARSED.names[:3]})
+
+    return parse.asNondeterministic()(kind, raw)  # so that a filter on its result doesn't run it again
 
 
 GAZE_FIELDS = ("x", "y", "timestamp", "gaze_point_validity", "left_z", "remark")
@@ -301,14 +356,46 @@ def _sound(ok: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def parse_gaze_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """df with columns reason, edits and typed: the typed fields of a sound gaze.csv line.
+def parse_raw_records(df: DataFrame, kind: str = "kind", raw: str = "raw") -> DataFrame:
+    """df with columns reason, edits, gaze and meta, of records of both kinds in one pass.
 
-    reason is null for a sound line, else the first of: malformed (quotes were edited, or the line
-    is null), column_count (delimiters were edited), invalid_value. typed is null where reason
-    isn't. An empty x, y or left_z is a null value, not a failure.
+    gaze: the typed fields of a sound gaze.csv line (kind 'gaze'); meta: those of a sound meta.json
+    object (kind 'meta'). reason is null for a sound record, else the first of: malformed (a line's
+    quotes or an object's structure were edited, or the record is null), column_count (a line's
+    delimiters were edited, or an object's keys are not the nine), invalid_value. Both typed columns
+    are null where reason isn't. An empty x, y or left_z of a line is a null value, not a failure.
+    Records of any other kind are unknown_kind. Repeated rows are each judged. An empty table gives
+    no rows; other columns are kept, but for ones of the names added.
     """
-    df = df.withColumn("_parsed", parse_csv(F.col(raw), len(GAZE_FIELDS)))
+    lines, objects = F.col(kind) == "gaze", F.col(kind) == "meta"
+    df = df.withColumn("_parsed", parse_records(F.col(kind), F.col(raw), {"gaze": len(GAZE_FIELDS)}, ("meta",)))
+    edited = lambda n: F.col(f"_parsed.{n}") > 0
+    gaze_sound, gaze = _gaze_line()
+    meta_complete, meta_sound, meta = _meta_object()
+    broken = F.col(raw).isNull() | edited("quotes") | edited("texts") | (objects & edited("delimiters"))
+    reason = (
+        F.when(~_sound(lines | objects), "unknown_kind")
+        .when(broken, "malformed")
+        .when(edited("delimiters") | (objects & ~_sound(meta_complete)), "column_count")
+        .when((lines & ~gaze_sound) | (objects & ~meta_sound), "invalid_value")
+    )
+    judged = df.withColumn("reason", reason).withColumn("edits", F.col("_parsed.edits"))
+    typed = {n: F.when(F.col("reason").isNull() & k, value) for n, k, value in (("gaze", lines, gaze), ("meta", objects, meta))}
+    return judged.withColumns(typed).drop("_parsed")
+
+
+def parse_gaze_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """df with columns reason, edits and typed, all its records being lines of a gaze.csv: see parse_raw_records."""
+    return parse_raw_records(df.withColumn("_kind", F.lit("gaze")), "_kind", raw).withColumnRenamed("gaze", "typed").drop("_kind", "meta")
+
+
+def parse_meta_objects(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """df with columns reason, edits and typed, all its records being meta.json objects: see parse_raw_records."""
+    return parse_raw_records(df.withColumn("_kind", F.lit("meta")), "_kind", raw).withColumnRenamed("meta", "typed").drop("_kind", "gaze")
+
+
+def _gaze_line() -> tuple[Column, Column]:
+    """Whether a line's values are valid, and the typed row."""
     f = {name: F.col("_parsed.fields")[i] for i, name in enumerate(GAZE_FIELDS)}
     valid = [_sound((_plain(f[n]) == "") | _finite(f[n])) for n in ("x", "y", "left_z")]
     valid += [_sound(_finite(f["timestamp"]) & (_decimal(f["timestamp"]) >= 0)), _sound(_plain(f["gaze_point_validity"]).isin(*VALIDITY))]
@@ -318,16 +405,11 @@ def parse_gaze_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
         _decimal(f["left_z"]).alias("left_z"),
         f["remark"].alias("remark"),
     )
-    return _judged(df, raw, F.col("_parsed.cost") >= JUNK, F.lit(True), valid, typed)
+    return reduce(Column.__and__, valid), typed
 
 
-def parse_meta_objects(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """df with columns reason, edits and typed: the typed fields of a sound meta.json object.
-
-    reason as in parse_gaze_lines; column_count is a set of keys other than the nine, which a valid
-    object only can show and which needs no edits.
-    """
-    df = df.withColumn("_parsed", parse_json(F.col(raw)))
+def _meta_object() -> tuple[Column, Column, Column]:
+    """Whether an object has the nine keys, whether its values are valid, and the typed row."""
     fields = F.col("_parsed.fields")
     keys = F.filter(fields, lambda _, i: i % 2 == 0)
     values = F.filter(fields, lambda _, i: i % 2 == 1)
@@ -342,17 +424,4 @@ def parse_meta_objects(df: DataFrame, raw: str = "raw") -> DataFrame:
         *[_plain(text[n]).alias(n) for n in text],
         *[f[n].try_cast("double").cast("bigint" if n in integers else "double").alias(n) for n in numbers],
     )
-    return _judged(df, raw, F.col("_parsed.cost") > 0, complete, valid, typed)
-
-
-def _judged(df: DataFrame, raw: str, broken: Column, complete: Column, valid: list[Column], typed: Column) -> DataFrame:
-    sound = valid[0]
-    for ok in valid[1:]:
-        sound = sound & ok
-    reason = (
-        F.when(F.col(raw).isNull() | broken, "malformed")
-        .when((F.col("_parsed.cost") > 0) | ~_sound(complete), "column_count")
-        .when(~sound, "invalid_value")
-    )
-    judged = df.withColumn("reason", reason).withColumn("edits", F.col("_parsed.edits"))
-    return judged.withColumn("typed", F.when(F.col("reason").isNull(), typed)).drop("_parsed")
+    return complete, reduce(Column.__and__, valid), typed

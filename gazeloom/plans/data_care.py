@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazeloom.operators.grid import regular_grid
 from gazeloom.operators.intervals import covered_periods, fixation_intervals
-from gazeloom.operators.parse_errors import parse_gaze_lines, parse_meta_objects
+from gazeloom.operators.parse_errors import parse_raw_records
 from gazeloom.operators.spikes import spike_flags
 from gazeloom.plans.registry import Registry
 from gazeloom.session import read, scratch_folder
@@ -17,32 +17,71 @@ REGISTRY = Registry()
 # The spellings of gaze_point_validity that mean valid.
 VALID = ("1", "1.0", "True")
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
-CSV_LINE = r'("([^"]|"")*"|[^",]*)'
+# SQL: a field of a CSV line, a line of them, a number; an object's tokens may not be what SQL's reader lets pass.
+FIELD_SQL = '("([^"]|"")*"|[^",]*)'
+NUMBER_SQL = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?"
+JSON_NUMBER_SQL = "-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?"
+STRING_SQL = '"([^"\\\\]|\\\\.)*"'
+META_KEYS = ("radiologist", "fname", "global_ind", "num_part", "num_img", "x0", "y0", "win_width", "win_height")
+META_INTEGERS = ("global_ind", "num_part", "num_img")
+
+
+def _number_sql(c: str) -> str:
+    return f"(regexp_full_match(lower(trim({c})), '{NUMBER_SQL}') and isfinite(coalesce(try_cast(lower(trim({c})) as double), 'inf'::double)))"
+
+
+def _parsed_sql() -> str:
+    """CTEs g (gaze lines with reason and fields f) and o (meta objects with reason)."""
+    gaze_ok = " and ".join([*[f"(trim(f[{i}]) = '' or {_number_sql(f'f[{i}]')})" for i in (1, 2, 5)], _number_sql("f[3]"), "try_cast(lower(trim(f[3])) as double) >= 0", "lower(trim(f[4])) in ('1', '1.0', 'true', '0', '0.0', 'false')"])
+    value = lambda k: f"json_extract(raw, '$.{k}')"
+    numbers = [k for k in META_KEYS if k not in ("radiologist", "fname")]
+    meta_ok = " and ".join(
+        [f"json_type({value(k)}) = 'VARCHAR'" for k in ("radiologist", "fname")]
+        + ["regexp_full_match(lower(trim(raw ->> '$.radiologist')), '[a-d][0-9]{4,}')", "ends_with(lower(trim(raw ->> '$.fname')), '.png')"]
+        + [f"regexp_full_match(cast({value(k)} as varchar), '{JSON_NUMBER_SQL}')" for k in numbers]
+    )
+    keys = ", ".join(f"'{k}'" for k in sorted(META_KEYS))
+    return f"""
+with r as (select distinct record_id, kind, raw from raw_records),
+g0 as (select record_id, raw, regexp_full_match(raw, '{FIELD_SQL}(,{FIELD_SQL})*', 's') as quoted from r where kind = 'gaze'),
+g1 as (select *, case when quoted then list_transform(regexp_extract_all(raw || ',', '{FIELD_SQL},', 1, 's'),
+  lambda v: case when starts_with(v, '"') then replace(substr(v, 2, length(v) - 2), '""', '"') else v end) end as f from g0),
+g as (select *, case when quoted is not true then 'malformed' when len(f) <> 6 then 'column_count' when not coalesce({gaze_ok}, false) then 'invalid_value' end as reason from g1),
+o0 as (select record_id, raw, coalesce(json_valid(raw) and json_type(try_cast(raw as json)) = 'OBJECT'
+  and not regexp_matches(regexp_replace(raw, '{STRING_SQL}', 's', 'gs'), ',\\s*[}}\\]]|[Nn][Aa][Nn]|[Ii][Nn][Ff]'), false) as sound from r where kind = 'meta'),
+o as (select *, case when not sound then 'malformed' when list_sort(json_keys(case when sound then raw else '{{}}' end)) <> [{keys}] then 'column_count'
+  when not coalesce({meta_ok.replace('raw', "(case when sound then raw else '{}' end)")}, false) then 'invalid_value' end as reason from o0)
+"""
 
 
-def _parsed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    raw = read(spark, folder, "raw_records").select("record_id", "kind", "raw")
-    return parse_gaze_lines(raw.where("kind = 'gaze'")), parse_meta_objects(raw.where("kind = 'meta'"))
+def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_raw_records(read(spark, folder, "raw_records").select("record_id", "kind", "raw"))
 
 
-@REGISTRY.add()
+@REGISTRY.add(_parsed_sql() + "select record_id, reason from g where reason is not null union all select record_id, reason from o where reason is not null")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The raw records that fail, with the first reason."""
-    gaze, meta = (x.where("reason is not null").select("record_id", "reason") for x in _parsed(spark, folder))
-    return gaze.unionByName(meta)
+    return _parsed(spark, folder).where("reason is not null").select("record_id", "reason")
 
 
-@REGISTRY.add()
+@REGISTRY.add(
+    _parsed_sql() + "select record_id, "
+    + ", ".join(f"try_cast(nullif(lower(trim(f[{i}])), '') as double) as {n}" for i, n in ((1, "x"), (2, "y"), (3, "timestamp"), (5, "left_z")))
+    + ", lower(trim(f[4])) in ('1', '1.0', 'true') as gaze_point_validity, f[6] as remark from g where reason is null"
+)
 def p1_gaze_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The sound gaze lines as typed rows."""
-    return _parsed(spark, folder)[0].where("reason is null").select("record_id", "typed.*")
+    return _parsed(spark, folder).where("reason is null and kind = 'gaze'").select("record_id", "gaze.*")
 
 
-@REGISTRY.add()
+@REGISTRY.add(
+    _parsed_sql() + "select record_id, lower(trim(raw ->> '$.radiologist')) as radiologist, lower(trim(raw ->> '$.fname')) as fname, "
+    + ", ".join(f"cast(cast(json_extract(raw, '$.{k}') as double) as {'bigint' if k in META_INTEGERS else 'double'}) as {k}" for k in META_KEYS[2:])
+    + " from o where reason is null"
+)
 def p1_meta_objects(spark: SparkSession, folder: str) -> DataFrame:
     """The sound meta objects as typed rows."""
-    return _parsed(spark, folder)[1].where("reason is null").select("record_id", "typed.*")
+    return _parsed(spark, folder).where("reason is null and kind = 'meta'").select("record_id", "meta.*")
 
 
 def _spikes(spark: SparkSession, folder: str) -> DataFrame:
