@@ -106,6 +106,23 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(p9_mix(spark, folder), "source", read(spark, folder, "mix_targets"))
 
 
+def _mixed(spark: SparkSession, folder: str, **how) -> DataFrame:
+    targets = read(spark, folder, "mix_targets")
+    return shares(mix(read(spark, folder, "documents"), "doc_id", "source", token_counts(F.col("text")), targets, **how), "source", targets)
+
+
+@REGISTRY.add()
+def p9_limited(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of a mix of the size of all documents that is as even as the repetition limits allow, by bisecting the exponent."""
+    return _mixed(spark, folder, passes=1.0, exponent=0.0)
+
+
+@REGISTRY.add()
+def p9_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of a mix whose entropy is 1.6 nats, by bisecting the exponent."""
+    return _mixed(spark, folder, entropy_goal=1.6)
+
+
 @REGISTRY.add()
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are natural prose."""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 RUN = re.compile(r"(.)\1*", re.DOTALL)
 FIRST_CODE = 0x4E00
 CODES = 10_000
-"""Code points for events, from FIRST_CODE. Each is used in two ranges, so that stretches which
+"""Code points for events, from FIRST_CODE, and rows of a slice, which so has no more values. Each is used in two ranges, so that stretches which
 must not run together, an entity's after another's or either side of a pause, alternate between
 them."""
 
@@ -30,9 +31,10 @@ def event_runs(df: DataFrame, keys: list[str], time: str, order: str, event: Col
     smallest counts). An empty table gives no runs; other columns are ignored.
 
     The rows are sorted into ranges of (keys, time, order), which split long keys evenly. A task
-    reads its range in batches and writes the events as one string of code points; a back-reference
-    matches every run, and the match's span gives its events. Runs that touch a batch's edge are
-    joined with their neighbours afterwards, two a batch.
+    reads its range in slices of at most CODES rows and writes a slice's events as one string of code
+    points; a back-reference matches every run, and the match's span gives its events. A run that
+    goes on in the next slice is carried there. Runs that touch a range's edge are joined with their
+    neighbours afterwards, two a range.
     """
     events = df.select(*keys, F.col(time).cast("double").alias("_t"), F.col(order).cast("bigint").alias("_o"), event.cast("bigint").alias("_e"))
     events = events.dropna(subset=[*keys, "_t", "_o", "_e"]).where(~F.isnan("_t"))
@@ -51,15 +53,14 @@ def event_runs(df: DataFrame, keys: list[str], time: str, order: str, event: Col
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], pause: float) -> Iterator[pa.RecordBatch]:
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    last = waiting = None  # waiting: the last run so far, which may go on
+    first = True
+    for batch in (b.slice(i, CODES) for b in batches for i in range(0, b.num_rows, CODES)):
         t, o, e = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_t", "_o", "_e"))
         entity = np.zeros(len(t), bool)  # True where another entity begins
         columns = [batch.column(k) for k in keys]
         for c in columns:
-            entity[1:] |= pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            entity[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
         again = np.zeros(len(t), bool)
         again[1:] = ~entity[1:] & (t[1:] == t[:-1]) & (o[1:] == o[:-1])
         again[0] = last is not None and last == (*[c[0].as_py() for c in columns], t[0], o[0])
@@ -72,27 +73,49 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], pause: float) -> I
         broken = entity.copy()
         broken[1:] |= t[1:] - t[:-1] > pause
         side = np.cumsum(broken) % 2
-        values, code = np.unique(e, return_inverse=True)
-        if len(values) > CODES:
-            text, size = None, 0
-            starts = np.flatnonzero(np.append(True, broken[1:] | (e[1:] != e[:-1])))
-            ends = np.append(starts[1:], len(e)) - 1
-        else:
-            text = (FIRST_CODE + code + CODES * side).astype("<u4").tobytes().decode("utf-32-le")
-            spans = np.array([m.span() for m in RUN.finditer(text)], np.int64)
-            starts, ends = spans[:, 0], spans[:, 1] - 1
-        edge = np.zeros(len(starts), bool)
-        opens, closes = edge.copy(), edge
-        opens[0], closes[-1] = True, True
+        code = np.unique(e, return_inverse=True)[1]
+        text = (FIRST_CODE + code + CODES * side).astype("<u4").tobytes().decode("utf-32-le")
+        spans = np.array([m.span() for m in RUN.finditer(text)], np.int64)
+        starts, ends = spans[:, 0], spans[:, 1] - 1
+        values = [e[starts], o[starts], o[ends], ends - starts + 1, t[starts], t[ends], np.zeros(len(starts), bool), np.zeros(len(starts), bool)]
         rows = pa.array(keep[starts])
-        yield pa.RecordBatch.from_arrays(
-            [*[c.take(rows) for c in columns], *map(pa.array, (e[starts], o[starts], o[ends], ends - starts + 1, t[starts], t[ends], opens, closes))],
-            names=[*keys, "event", "first_order", "last_order", "n_events", "start", "end", "opens", "closes"],
-        )
+        found = pa.RecordBatch.from_arrays([*[c.take(rows) for c in columns], *map(pa.array, values)], names=[*keys, *FOUND])
+        if waiting is not None:
+            waiting, found = _carried(waiting, found, keys, pause)
+            if waiting is not None:
+                yield waiting
+        elif first:
+            found = _marked(found, 0, "opens")
+        first = False
+        if found.num_rows > 1:
+            yield found.slice(0, found.num_rows - 1)
+        waiting = found.slice(found.num_rows - 1)
+    if waiting is not None:
+        yield _marked(waiting, 0, "closes")
+
+
+FOUND = ["event", "first_order", "last_order", "n_events", "start", "end", "opens", "closes"]
+
+
+def _carried(waiting: pa.RecordBatch, found: pa.RecordBatch, keys: list[str], pause: float) -> tuple[pa.RecordBatch | None, pa.RecordBatch]:
+    """The run that waits, if it is over, and the runs found, of which the first may continue it."""
+    old, new = waiting.to_pylist()[0], found.slice(0, 1).to_pylist()[0]
+    if any(old[k] != new[k] for k in (*keys, "event")) or new["start"] - old["end"] > pause:
+        return waiting, found
+    merged = new | {"first_order": old["first_order"], "start": old["start"], "opens": old["opens"], "n_events": old["n_events"] + new["n_events"]}
+    first = pa.RecordBatch.from_pylist([merged], schema=found.schema)
+    table = pa.Table.from_batches([first, found.slice(1)]).combine_chunks()
+    return None, table.to_batches()[0]
+
+
+def _marked(found: pa.RecordBatch, row: int, flag: str) -> pa.RecordBatch:
+    mask = np.zeros(found.num_rows, bool)
+    mask[row] = True
+    return found.set_column(found.schema.get_field_index(flag), flag, pa.array(mask))
 
 
 def _join_edges(edges: DataFrame, keys: list[str], pause: float) -> DataFrame:
-    """Joins runs across the edges of batches: one that closes its batch and the next that opens one."""
+    """Joins runs across the edges of ranges: one that closes its range and the next that opens one."""
     w = W.partitionBy(*keys).orderBy("start", "first_order")
     goes_on = F.lag("closes").over(w) & F.col("opens") & (F.lag("event").over(w) == F.col("event")) & (F.col("start") - F.lag("end").over(w) <= pause)
     numbered = edges.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))

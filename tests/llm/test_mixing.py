@@ -40,12 +40,32 @@ def test_total_beyond_the_limits_tilts_towards_the_natural_mix(spark):
     docs, goals = setup(spark, rows, [("a", 0.5, 1), ("b", 0.5, 2)])
     supply = {s: sum(n for _, q, n in rows if q == s) for s in "ab"}
     total = float(sum(supply.values()))
-    got = mixing.mix(docs, "id", "source", F.col("n"), goals, total=total).toPandas()
+    got = mixing.mix(docs, "id", "source", F.col("n"), goals, passes=1.0).toPandas()
     tokens = (got["n_tokens"] * got["n_uses"]).groupby(got["source"]).sum()
     assert abs(tokens["b"] / (2 * supply["b"]) - 1) < 0.05 and got.loc[got["source"] == "b", "n_uses"].max() == 2
     assert abs(tokens.sum() / total - 1) < 0.05
 
 
+def test_even_mix_within_limits_and_target_entropy(spark):
+    rows = rows_of({"a": 3000, "b": 900, "c": 60})
+    targets = [("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.3, 4)]
+    docs, goals = setup(spark, rows, targets)
+    supply = {s: float(sum(n for _, q, n in rows if q == s)) for s in "abc"}
+    total = sum(supply.values())
+    got = mixing.mix(docs, "id", "source", F.col("n"), goals, passes=1.0, exponent=0.0)
+    report = {r.source: r for r in mixing.shares(got, "source", goals).collect()}
+    assert all(report[s].most_uses <= m for s, _, m in targets) and abs(report["a"].n_tokens / total - report["a"].share) < 0.01
+    limits = {s: float(m) for s, _, m in targets}
+    e = mixing.exponent_for_limits(supply, limits, total, wanted=0.0)
+    assert 0 < e < 1 and all(abs(report[s].share - w) < 0.01 for s, w in mixing.temperature_weights(supply, e).items())
+    got = mixing.mix(docs, "id", "source", F.col("n"), goals, entropy_goal=0.9)
+    report = mixing.shares(got, "source", goals).collect()
+    assert all(abs(r.entropy - 0.9) < 0.01 and r.most_uses <= r.max_repeats for r in report)
+    # no mix allows three passes: the targets stay and the selection is the largest at these
+    got = mixing.mix(docs, "id", "source", F.col("n"), goals, passes=3.0)
+    assert all(abs(r.share - r.target_share) < 0.02 for r in mixing.shares(got, "source", goals).collect())
+
+
 def test_temperature():
     supply = {"a": 900.0, "b": 90.0, "c": 10.0, "none": 0.0}
     natural, flat = mixing.temperature_weights(supply, 1.0), mixing.temperature_weights(supply, 0.0)
