@@ -48,6 +48,13 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return assign_splits(read(spark, folder, "features"), "sample_id", RELATED, "expert", SHARES)
 
 
+@REGISTRY.add(f"with g as ({GROUPS}) select group_id, count(*) as n_samples, 1 as n_splits from g group by group_id")
+def p2_groups_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The groups' sizes and numbers of splits, as p2_splits has dealt them."""
+    splits = F.count_distinct("split").cast("int").alias("n_splits")
+    return p2_splits(spark, folder).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_samples"), splits)
+
+
 RUNS = """
 with m as (
   select distinct recording_id, ord, timestamp as t, eye_movement_type as e from movement where eye_movement_type is not null and timestamp is not null),

@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from gazeloom.llm import splits
 
 SCHEMA = "id bigint, a string, b string, y int, label string, group_id string"
@@ -72,10 +75,32 @@ def test_splits_keep_groups_and_shares(spark):
         assert abs(sum(label[i] for i in ids) / len(ids) - 0.2) < 0.05
 
 
-def test_splits_of_small_groups_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(splits, "LARGE_SHARE", 0.5)
+def test_splits_of_small_groups_and_edges(spark):
     rows = [(i, f"a{i // 2}", None, i % 4 // 2 if i % 7 else None) for i in range(2000)]
     got = splits.assign_splits(table(spark, rows), "id", ["a"], "y", {"train": 0.5, "test": 0.5}).toPandas()
     assert len(got) == 2000 and abs((got["split"] == "train").mean() - 0.5) < 0.03 and got.groupby("group_id")["split"].nunique().max() == 1
     assert splits.assign_splits(table(spark, []), "id", ["a"], "y", {"train": 1.0}).count() == 0
     assert splits.assign_splits(table(spark, [(1, None, None, None)]), "id", ["a"], "y", {"train": 0.8, "test": 0.2}).count() == 1
+
+
+def test_text_ids(spark):
+    rows = [(f"r{i}", f"a{i // 3}", i % 2) for i in range(90)]
+    got = splits.assign_splits(spark.createDataFrame(rows, "id string, a string, y int"), "id", ["a"], "y", {"train": 0.5, "test": 0.5}).toPandas()
+    assert len(got) == 90 and got.groupby("group_id")["split"].nunique().max() == 1 and abs((got["split"] == "train").mean() - 0.5) < 0.05
+
+
+def deviation(vectors, groups, dealt, shares):
+    weight = vectors / (groups @ vectors)
+    return ((dealt.T @ weight - np.array(shares)[:, None]) ** 2).sum()
+
+
+def test_dealing_is_near_the_best():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        vectors, groups, shares = rng.integers(1, 40, (6, 2)).astype(float), np.ones(6, np.int64), [0.6, 0.2, 0.2]
+        dealt = splits.deal_profiles(vectors, groups, shares)
+        assert (dealt.sum(1) == groups).all()
+        best = min(deviation(vectors, groups, np.eye(3)[list(c)], shares) for c in itertools.product(range(3), repeat=6))
+        assert deviation(vectors, groups, dealt, shares) <= best * 1.6 + 1e-3
+    vectors, groups = rng.integers(0, 9, (300, 3)).astype(float), rng.integers(1, 1000, 300)
+    assert deviation(vectors, groups, splits.deal_profiles(vectors, groups, [0.8, 0.1, 0.1]), [0.8, 0.1, 0.1]) < 1e-9
