@@ -38,6 +38,8 @@ BLOCK = 250
 """Shingles that are compared with each other; so a long text isn't taken for repetition because it is long."""
 DISTINCT_SHARE = 0.4
 """A text with fewer distinct shingles in relation to all is repetition."""
+PERIODIC_SHARE = 1 - DISTINCT_SHARE
+"""A text is repetition, too, if more than this share of its shingles recur at one and the same distance in words."""
 SMOOTHING = 2.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MARKS = np.frombuffer(b".!?", np.uint8)
@@ -269,7 +271,7 @@ def count_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 STATISTICS = T.StructType(
     [T.StructField("n_words", T.LongType())]
-    + [T.StructField(n, T.DoubleType()) for n in ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "distinct_shingle_share")]
+    + [T.StructField(n, T.DoubleType()) for n in ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "distinct_shingle_share", "periodic_shingle_share")]
     + [T.StructField(f"{n}_share", T.DoubleType()) for n in LABELS]
 )
 
@@ -296,12 +298,15 @@ def document_statistics(texts: list[bytes], model: Model) -> pd.DataFrame:
         out[f"{name}_share"] = ratio(sums(lines.length, label == k), length)
     out["distinct_shingle_share"] = 1.0
     likely = np.flatnonzero((out["prose_share"] >= PROSE_SHARE).to_numpy())
-    out.loc[likely, "distinct_shingle_share"] = distinct_shares(lines, likely)
+    out["periodic_shingle_share"] = 0.0
+    shingles = shingle_hashes(lines, likely)
+    out.loc[likely, "distinct_shingle_share"] = distinct_shares(*shingles)
+    out.loc[likely, "periodic_shingle_share"] = periodic_shares(*shingles)
     return out[STATISTICS.names]
 
 
-def distinct_shares(lines: Lines, texts: np.ndarray) -> np.ndarray:
-    """Distinct shingles of SHINGLE words in relation to all, within blocks of BLOCK, for the chosen texts; 1 for shorter ones."""
+def shingle_hashes(lines: Lines, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the shingles of SHINGLE words of the chosen texts: hash, number among the chosen texts, place in it; and each text's number of shingles."""
     begin, end = np.searchsorted(lines.word_text, texts), np.searchsorted(lines.word_text, texts, side="right")
     n = np.maximum(end - begin - SHINGLE + 1, 0)
     of = np.repeat(np.arange(len(texts)), n)
@@ -310,9 +315,27 @@ def distinct_shares(lines: Lines, texts: np.ndarray) -> np.ndarray:
     hashes = np.zeros(len(at), np.uint64)
     for j in range(SHINGLE):
         hashes = hashes * FACTOR + lines.word_hash[at + j]
+    return hashes, of, place, n
+
+
+def distinct_shares(hashes: np.ndarray, of: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Distinct shingles in relation to all, within blocks of BLOCK; 1 for texts without shingles."""
     block = (of << 32 | place // BLOCK).astype(np.uint64)
     first = np.unique(hashes ^ (block * FACTOR), return_index=True)[1]
-    return np.divide(np.bincount(of[first], minlength=len(texts)), n, out=np.ones(len(texts)), where=n > 0)
+    return np.divide(np.bincount(of[first], minlength=len(n)), n, out=np.ones(len(n)), where=n > 0)
+
+
+def periodic_shares(hashes: np.ndarray, of: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Share of a text's shingles whose last occurrence is as many words back as it most often is, however long the text and what it repeats."""
+    order = np.lexsort((place, hashes, of))
+    h, text, at = hashes[order], of[order], place[order]
+    again = np.flatnonzero((h[1:] == h[:-1]) & (text[1:] == text[:-1])) + 1
+    if not len(again):
+        return np.zeros(len(n))
+    distance, count = np.unique(np.stack([text[again], at[again] - at[again - 1]]), axis=1, return_counts=True)
+    most = np.zeros(len(n), np.int64)
+    np.maximum.at(most, distance[0], count)
+    return np.divide(most, n, out=np.zeros(len(n)), where=n > 0)
 
 
 def fitted_model(documents: DataFrame, ident: str, text: str, sample: int = SAMPLE) -> Model:
@@ -335,9 +358,11 @@ def quality_statistics(documents: DataFrame, ident: str, text: str, model: Model
     hidden Markov model over the lines' statistics; a label's share is of the document's non-blank
     bytes. Unless given, the model is fitted on the lines that plain rules label, of a sample of
     SAMPLE documents; it has as many parameters whatever the input. kind is prose where prose has
-    PROSE_SHARE of the text and at least DISTINCT_SHARE of its shingles are distinct, repetition
-    where they aren't, else the label with the largest share (the first of equals), or empty for a text without
-    ink. distinct_shingle_share is taken where prose prevails and is 1 elsewhere.
+    PROSE_SHARE of the text and it is no repetition, repetition where it is: where fewer than
+    DISTINCT_SHARE of its shingles are distinct, within blocks, or more than PERIODIC_SHARE recur at
+    one distance, over the whole text. Else it is the label with the largest share (the first of equals), or empty for a text without
+    ink. distinct_shingle_share and periodic_shingle_share are taken where prose prevails; they are 1
+    and 0 elsewhere.
 
     A null text is empty. Repeated rows give repeated results; null ids are kept. All of each text
     counts. The work is one pass without a shuffle.
@@ -364,5 +389,6 @@ def quality_statistics(documents: DataFrame, ident: str, text: str, model: Model
 
 
 def is_prose() -> Column:
-    return (F.col("prose_share") >= PROSE_SHARE) & (F.col("distinct_shingle_share") >= DISTINCT_SHARE)
+    new = (F.col("distinct_shingle_share") >= DISTINCT_SHARE) & (F.col("periodic_shingle_share") <= PERIODIC_SHARE)
+    return (F.col("prose_share") >= PROSE_SHARE) & new
 

@@ -81,8 +81,20 @@ def test_repetition_does_not_depend_on_length():
     rng = random.Random(2)
     sentences = [rng.choice(PROSE).format(*rng.sample(NOUNS, 2)) + f" It was the {''.join(rng.choices('abcdefgh', k=6))}." for _ in range(4000)]
     lines = quality.line_statistics([" ".join(sentences).encode(), (sentences[0] * 500).encode(), b"one two"])
-    long, again, short = quality.distinct_shares(lines, pd.RangeIndex(3).to_numpy())
+    shingles = quality.shingle_hashes(lines, pd.RangeIndex(3).to_numpy())
+    long, again, short = quality.distinct_shares(*shingles)
     assert long > 0.6 and again < 0.2 and short == 1
+    assert quality.periodic_shares(*shingles).tolist()[2] == 0 and quality.periodic_shares(*shingles)[1] > 0.9
+
+
+@pytest.mark.parametrize("words", [60, 150, 300, 1200])
+def test_a_long_passage_repeated_is_repetition(words):
+    rng = random.Random(words)
+    make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passage = make(words)
+    lines = quality.line_statistics([(passage + "\n").encode() * 6, make(words * 6).encode(), f"{passage}\n{make(words * 2)}\n{passage}".encode()])
+    again, once, quoted = quality.periodic_shares(*quality.shingle_hashes(lines, pd.RangeIndex(3).to_numpy()))
+    assert again > quality.PERIODIC_SHARE > max(once, quoted)
 
 
 def test_paths_are_the_most_likely(spark):
