@@ -79,6 +79,11 @@ def pixels_per_degree(width_px: Column, height_px: Column, width_mm: Column, hei
     return mean, F.abs(x - y) > 0.2 * mean
 
 
+def nan_to(column: Column, value: float) -> Column:
+    """The column with NaN as the value; null stays null."""
+    return F.nanvl(column, F.lit(value))
+
+
 def argmax(scores: Column) -> Column:
     """0-based place of the largest score, the first of equals."""
     return F.array_position(scores, F.array_max(scores)) - 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,6 +79,24 @@ def union_by_name(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second, allowMissingColumns=True)
 
 
+def without_matching(df: DataFrame, values: dict) -> DataFrame:
+    """df without the rows that have all of the values; a null matches a null only, and no row is lost for having one."""
+    match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in values.items()])
+    return df.where(~match)
+
+
+def only_mapped(df: DataFrame, keys: list[str], mapped: Column) -> DataFrame:
+    """The rows of keys all of whose rows are mapped; one that isn't, or null, leaves its key out. Null keys are left out."""
+    sound = df.groupBy(*keys).agg(F.bool_and(F.coalesce(mapped, F.lit(False))).alias("_ok")).where("_ok").select(*keys)
+    return df.join(sound, keys, "left_semi")
+
+
+def from_start(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """The columns less their value in the key's first row by order."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("_first"))
+    return df.join(first, keys).withColumns({c: F.col(c) - F.col("_first")[c] for c in columns}).drop("_first")
+
+
 def no_coordinates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of which all x and all y are missing; a missing column counts as missing values."""
     count = lambda c: F.count(clean_number(F.col(c).cast("double"))) if c in df.columns else F.lit(0)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gazeloom.operators.ordered import BEFORE, ranged
+from gazeloom.operators.ordered import BEFORE, ranged, with_position
 from gazeloom.session import cut_lineage
 
 
@@ -93,67 +96,130 @@ def standardized(train: DataFrame, other: DataFrame, columns: list[str]) -> Data
     return other.join(F.broadcast(sums)).withColumns(scaled).select(*other.columns)  # one row
 
 
+def shuffled_folds(df: DataFrame, ident: str, folds: int, seed: int = 42) -> DataFrame:
+    """Adds fold: even folds of the rows in a random order, that of a digest of seed and ident.
+
+    The first rows % folds folds have one row more. A row's fold doesn't depend on where it is stored.
+    """
+    rows = positions(df.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col(ident)).cast("binary"))), "_order")
+    size, more = F.floor(F.col("n") / folds), F.col("n") % folds
+    in_larger = F.col("at") < more * (size + 1)
+    fold = F.when(in_larger, F.floor(F.col("at") / (size + 1))).otherwise(more + F.floor((F.col("at") - more * (size + 1)) / size))
+    return rows.withColumn("fold", fold.cast("int")).drop("_order", "at", "n")
+
+
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
 
-def forest_predictions(df: DataFrame, ident: str, features: list[str], label: str, folds: int, trees: int = 100, depth: int = 5, seed: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold scores (ident, fold, label, score) and importances (fold, feature, importance) of random forests."""
-    data = cut_lineage(_assembled(hashed_folds(df, ident, folds), features).select(ident, "fold", F.col(label).cast("double").alias(label), "features"))
-    scores, importances = [], []
-    for fold in range(folds):  # folds are a small parameter
-        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        model = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-        scores.append(model.transform(test).select(ident, "fold", label, vector_to_array("probability")[1].alias("score")))
-        importances += [(fold, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-    table = df.sparkSession.createDataFrame(importances, "fold int, feature string, importance double")
-    return reduce(DataFrame.unionByName, scores), table
+@dataclass(frozen=True)
+class Fitted:
+    """A classifier fitted on a fold: it adds the column score to rows of the features; importance is by feature, if it has one."""
+
+    score: Callable[[DataFrame], DataFrame]
+    importance: list[float] | None = None
+
+
+Learner = Callable[[DataFrame, list[str], str], Fitted]
+
+
+def forest(trees: int = 100, depth: int = 5, seed: int = 10) -> Learner:
+    """Random forests with impurity importance."""
+
+    def fit(train: DataFrame, features: list[str], label: str) -> Fitted:
+        model = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(train.coalesce(1 + int(train.count() >> 16)), features))
+        score = lambda df: model.transform(_assembled(df, features)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        return Fitted(score, model.featureImportances.toArray().tolist())
 
+    return fit
 
-def svm_predictions(df: DataFrame, ident: str, features: list[str], label: str, folds: int, degree: int = 1) -> DataFrame:
-    """Out-of-fold scores of a linear support vector machine on standardised features, of degree 2 or 3 on their products.
 
-    The margin is turned into a probability by a logistic regression on the training fold.
+def margins(kernel: str = "linear", waves: int = 64, seed: int = 42) -> Learner:
+    """Support vector machines on features scaled by the training rows, with calibrated scores.
+
+    kernel: linear (importance: absolute coefficients), poly2 and poly3 (on products of features), or
+    rbf (on `waves` random Fourier features, as for a kernel of width 1 / number of features). The
+    margin is turned into a probability by a logistic regression on the training rows.
     """
-    data = cut_lineage(hashed_folds(df, ident, folds).select(ident, "fold", F.col(label).cast("double").alias(label), *features))
-    scores = []
-    for fold in range(folds):
-        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        parts = [_assembled(standardized(train, part, features), features) for part in (train, test)]
-        if degree > 1:
-            expand = PolynomialExpansion(degree=degree, inputCol="features", outputCol="expanded")
-            parts = [expand.transform(p).drop("features").withColumnRenamed("expanded", "features") for p in parts]
-        model = LinearSVC(labelCol=label, maxIter=50, regParam=0.01).fit(parts[0])
-        margins = [_margin(model.transform(p).drop("features", "prediction")) for p in parts]
-        calibration = LogisticRegression(labelCol=label).fit(margins[0])
-        scores.append(calibration.transform(margins[1]).select(ident, "fold", label, vector_to_array("probability")[1].alias("score")))
-    return reduce(DataFrame.unionByName, scores)
+    if kernel not in ("linear", "poly2", "poly3", "rbf"):
+        raise ValueError(kernel)
+
+    def fit(train: DataFrame, features: list[str], label: str) -> Fitted:
+        sums = train.agg(*[F.avg(c).alias(f"_m{c}") for c in features], *[F.stddev_pop(c).alias(f"_s{c}") for c in features]).first()
+        scaled = lambda c: (F.col(c) - F.lit(sums[f"_m{c}"])) / F.lit(sums[f"_s{c}"] or 1.0)
+
+        def spread(df: DataFrame) -> DataFrame:
+            if kernel == "rbf":
+                rng = np.random.default_rng(seed)
+                turns, shifts = rng.normal(0, (2 / len(features)) ** 0.5, (waves, len(features))), rng.uniform(0, 2 * np.pi, waves)
+                angles = [reduce(Column.__add__, [scaled(c) * F.lit(float(t)) for c, t in zip(features, turn)]) + F.lit(float(s)) for turn, s in zip(turns, shifts)]
+                return df.withColumn("features", array_to_vector(F.array(*[F.cos(a) for a in angles])))
+            vectors = df.withColumn("features", array_to_vector(F.array(*[scaled(c) for c in features])))
+            if kernel == "linear":
+                return vectors
+            expand = PolynomialExpansion(degree=int(kernel[-1]), inputCol="features", outputCol="_expanded")
+            return expand.transform(vectors).drop("features").withColumnRenamed("_expanded", "features")
+
+        vectors = cut_lineage(spread(train).select(label, "features").coalesce(1 + int(train.count() >> 16)))  # a pass per step: few tasks of 2 ** 16 rows
+        machine = LinearSVC(labelCol=label, maxIter=50, regParam=0.01).fit(vectors)
+
+        def margin(spread_rows: DataFrame) -> DataFrame:
+            side = machine.transform(spread_rows).withColumn("_margin", vector_to_array("rawPrediction")[1])
+            return _assembled(side.drop("features", "rawPrediction", "prediction"), ["_margin"])
+
+        calibration = LogisticRegression(labelCol=label, maxIter=25, tol=1e-4).fit(margin(vectors))
+        score = lambda df: calibration.transform(margin(spread(df))).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "_margin")
+        return Fitted(score, np.abs(machine.coefficients.toArray()).tolist() if kernel == "linear" else None)
 
+    return fit
 
-def _margin(df: DataFrame) -> DataFrame:
-    margin = df.withColumn("_margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction")
-    return _assembled(margin, ["_margin"])
+
+def cross_validated(df: DataFrame, ident: str, features: list[str], label: str, folds: int, learner: Learner, repeats: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores (ident, fold, label, score), and importances (fold, feature, importance).
+
+    Folds are shuffled_folds. Importances are the learner's own or, with repeats, the mean fall of
+    the fold's AUC over that many permutations of each feature among the fold's held-out rows.
+    """
+    data = cut_lineage(shuffled_folds(df, ident, folds).select(ident, "fold", F.col(label).cast("double").alias(label), *features))
+    scores, importances = [], []
+    for fold in range(folds):  # folds are a small parameter
+        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
+        model = learner(train, features, label)
+        scores.append(model.score(test).select(ident, "fold", label, "score"))
+        if repeats:
+            importances.append(_permutation(model, test, ident, features, label, repeats).withColumn("fold", F.lit(fold)))
+        elif model.importance is not None:
+            importances.append(df.sparkSession.createDataFrame([(f, v, fold) for f, v in zip(features, model.importance)], "feature string, importance double, fold int"))
+    table = reduce(DataFrame.unionByName, importances) if importances else df.sparkSession.createDataFrame([], "feature string, importance double, fold int")
+    return reduce(DataFrame.unionByName, scores), table
 
 
-def permutation_importance(df: DataFrame, ident: str, features: list[str], label: str, repeats: int = 3, seed: int = 42) -> DataFrame:
-    """Drop of the AUC when a feature's values are dealt to other rows: (feature, importance, deviation).
+def _permutation(model: Fitted, test: DataFrame, ident: str, features: list[str], label: str, repeats: int, seed: int = 42) -> DataFrame:
+    """Mean fall of the AUC per feature: (feature, importance).
 
-    The model is a forest on all rows. A feature's column is permuted by joining the rows' positions
-    in their own order with those in a random one.
+    In each repeat the rows stand in two random orders; a row takes the feature from the row of its
+    place in the other order. All repeats and features are scored in one pass.
     """
-    data = positions(df.select(ident, F.col(label).cast("double").alias(label), *features), ident)
-    data = cut_lineage(data)
-    model = RandomForestClassifier(labelCol=label, numTrees=50, maxDepth=5, seed=10).fit(_assembled(data, features))
-    scored = lambda rows: auc(model.transform(_assembled(rows, features)).withColumn("score", vector_to_array("probability")[1]), [], label, "score").first()["auc"]
-    base = scored(data)
-    results = []
-    for feature in features:
-        for r in range(repeats):
-            order = F.pmod(F.xxhash64(ident, F.lit(seed + r)), F.lit(1 << 40))
-            dealt = positions(data.select(order.alias("_o"), F.col(feature).alias("_v")), "_o", "at").select("at", "_v")
-            results.append((feature, r, base - scored(data.drop(feature).join(dealt, "at").withColumnRenamed("_v", feature))))
-    table = df.sparkSession.createDataFrame(results, "feature string, repeat int, fall double")
-    return table.groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_pop("fall").alias("deviation"))
+    copies = test.withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+
+    def placed(salt: int) -> DataFrame:
+        order = F.xxhash64(ident, "_r", F.lit(seed + salt))
+        rows = copies.withColumn("_order", order).withColumn("_chunk", F.shiftright(order, 54))
+        return with_position(rows, ["_r"], "_chunk", ["_order", ident], "_place").drop("_order", "_chunk")
+
+    donors = placed(1).select("_r", "_place", F.struct(*features).alias("_other"))
+    rows = placed(0).join(donors, ["_r", "_place"])
+    changed = F.array(*[F.struct(F.lit(f).alias("feature"), *[(F.col("_other")[c] if c == f else F.col(c)).alias(c) for c in features]) for f in features])
+    scored = model.score(rows.select(ident, label, "_r", F.inline(changed)))
+    base = auc(model.score(test), [], label, "score").select(F.col("auc").alias("_base"))
+    falls = auc(scored, ["feature", "_r"], label, "score").join(F.broadcast(base))  # one row
+    return falls.groupBy("feature").agg(F.avg(F.col("_base") - F.col("auc")).alias("importance"))
+
+
+def audit(scores: DataFrame, ident: str) -> DataFrame:
+    """One row about out-of-fold scores: n, n_distinct ids, folds, and whether all are between 0 and 1."""
+    ok = F.bool_and(F.coalesce(F.col("score").between(0, 1), F.lit(False)))
+    return scores.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("n_distinct"), F.count_distinct("fold").alias("n_folds"), ok.alias("in_range"))
 
 
 def reader_classes(column: Column, classes: dict[str, int]) -> Column:

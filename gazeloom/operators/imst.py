@@ -191,17 +191,21 @@ def _one_level(graph: dict[int, dict[int, float]]) -> dict[int, int]:
     return community
 
 
-def cluster_points(x: np.ndarray, y: np.ndarray, width: float, height: float) -> list[tuple[float, float, int]]:
-    """Median point and size of each cluster: communities of the tree's edges whose ends are both no farther out than the mean."""
-    if len(x) < 3:
-        return []
+def tree_clusters(x: np.ndarray, y: np.ndarray, width: float, height: float) -> tuple[np.ndarray, dict[int, int]]:
+    """Each point's eccentricity in the tree, and the clusters of the points that have one: communities of the edges whose ends are both no farther out than the mean."""
     parents, children, weights = spanning_tree(x / width, y / height)
     far = eccentricities(len(x), parents, children)
     central = far <= far.mean()
     kept = central[parents] & central[children]
-    member = communities(list(zip(parents[kept].tolist(), children[kept].tolist(), weights[kept].tolist())))
+    return far, communities(list(zip(parents[kept].tolist(), children[kept].tolist(), weights[kept].tolist())))
+
+
+def cluster_points(x: np.ndarray, y: np.ndarray, width: float, height: float) -> list[tuple[float, float, int]]:
+    """Median point and size of each cluster."""
+    if len(x) < 3:
+        return []
     clusters: dict[int, list[int]] = {}
-    for v, c in member.items():
+    for v, c in tree_clusters(x, y, width, height)[1].items():
         clusters.setdefault(c, []).append(v)
     return [(float(np.median(x[m])), float(np.median(y[m])), len(m)) for _, m in sorted(clusters.items())]
 
@@ -246,3 +250,39 @@ def mst_fixations(df: DataFrame, keys: list[str], order: str, time: str, size: t
         return out.assign(cluster=np.arange(len(out)))[schema.names]
 
     return points.groupBy(*keys).applyInPandas(find, schema)
+
+
+def _by_key(points: DataFrame, keys: list[str], added: list[T.StructField], find) -> DataFrame:
+    """find(x, y, width, height) of each key's points by their order, its rows keeping the key's columns."""
+    schema = T.StructType([*[points.schema[k] for k in keys], *added])
+
+    def give(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        out = find(group["at"].to_numpy(), group["x"].to_numpy(), group["y"].to_numpy(), group["width"].iloc[0], group["height"].iloc[0])
+        for k in keys:
+            out[k] = group[k].iloc[0]
+        return out[schema.names]
+
+    return points.groupBy(*keys).applyInPandas(give, schema)
+
+
+def tree_edges(df: DataFrame, keys: list[str], order: str, time: str, size: tuple[str, str]) -> DataFrame:
+    """The edges of each key's tree: (keys, first, second, weight), the ends by their order."""
+
+    def find(at, x, y, width, height) -> pd.DataFrame:
+        low, high, weights = spanning_tree(x / width, y / height)
+        return pd.DataFrame({"first": at[low], "second": at[high], "weight": weights})
+
+    added = [T.StructField("first", T.LongType()), T.StructField("second", T.LongType()), T.StructField("weight", T.DoubleType())]
+    return _by_key(_points(df, keys, order, time, size), keys, added, find)
+
+
+def cluster_nodes(df: DataFrame, keys: list[str], order: str, time: str, size: tuple[str, str]) -> DataFrame:
+    """Each point with its eccentricity and its cluster, null outside of clusters: (keys, at, eccentricity, cluster)."""
+
+    def find(at, x, y, width, height) -> pd.DataFrame:
+        far, member = tree_clusters(x, y, width, height)
+        return pd.DataFrame({"at": at, "eccentricity": far, "cluster": pd.array([member.get(v) for v in range(len(x))], dtype="Int64")})
+
+    added = [T.StructField(n, T.LongType()) for n in ("at", "eccentricity", "cluster")]
+    return _by_key(_points(df, keys, order, time, size), keys, added, find)

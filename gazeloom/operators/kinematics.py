@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gazeloom.operators.ordered import in_blocks
+
 LEAST_CONFIDENCE = 0.75
 SCALES = (1, 2, 4, 8, 16)
 REACH = max(SCALES) // 2 + 1
@@ -124,3 +126,35 @@ def sliding_windows(df: DataFrame, keys: list[str], features: list[str], length:
 def scaled(df: DataFrame, per_degree: Column, columns: list[str]) -> DataFrame:
     """The columns in degrees: divided by pixels per degree, null where that is 0."""
     return df.withColumns({c: F.try_divide(F.col(c), per_degree) for c in columns})
+
+
+def online_features(
+    df: DataFrame, keys: list[str], order: str, length: int, confidence: Column, latency_us: float, per_degree: Column, scales: tuple[int, ...] = SCALES
+) -> DataFrame:
+    """Adds window (a key's rows in stretches of `length`), speed_w and direction_w as an online classifier takes them.
+
+    As in multiscale, but intervals end at the window's edges, time is counted in rows of latency_us
+    microseconds, and speed is in degrees. order is as in in_blocks; rows aren't expected in blocks.
+    """
+    placed = in_blocks(df, keys, order, 0).where("_core").withColumn("window", F.floor(F.col("_at") / length))
+    w = W.partitionBy(*keys, "window").orderBy("_at")
+    rows = placed.withColumn("_sure", F.coalesce(confidence >= LEAST_CONFIDENCE, F.lit(False)))
+    columns: dict[str, Column] = {}
+    for scale in scales:
+        step = math.ceil(scale / 2)
+        start, end = _ends(step, scale, F.col("_sure"), w)
+        extent = F.col("_sure") & (start != end)
+        dx, dy = (_at(c, end, step, w) - _at(c, start, step, w) for c in ("x", "y"))
+        seconds = (end - start) * latency_us / 1_000_000
+        columns[f"speed_{scale}"] = F.when(extent, F.try_divide(F.try_divide(F.sqrt(dx * dx + dy * dy), seconds), per_degree)).otherwise(0.0)
+        columns[f"direction_{scale}"] = F.when(extent, F.atan2(dy, dx)).otherwise(0.0)
+    return rows.withColumns(columns).drop("_sure", *BLOCKED)
+
+
+def training_windows(df: DataFrame, keys: list[str], features: list[str], label: str, length: int) -> DataFrame:
+    """Adds window, an array of the features of the row and the length - 1 rows before it, for rows with a label.
+
+    A window has the label of its last row; of length 1 it is the row itself. Rows come in blocks
+    that reach length - 1 rows back.
+    """
+    return sliding_windows(df, keys, features, length).where(F.col(label).isNotNull())

@@ -46,6 +46,11 @@ def not_written(todo: DataFrame, written: DataFrame, keys: list[str]) -> DataFra
     return todo.join(written.select(*keys).distinct(), keys, "left_anti")
 
 
+def written(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """What is done: rows of todo whose keys are there."""
+    return todo.join(done.select(*keys).distinct(), keys, "left_semi")
+
+
 def completeness(expected: DataFrame, actual: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Per `by`: how many keys are expected, present and missing."""
     present = actual.select(*keys).distinct().withColumn("_present", F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,15 @@ def majority(votes: DataFrame, keys: list[str], vote: str) -> DataFrame:
 def best_classes(scores: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the place of the largest score."""
     return scores.withColumn(out, argmax(F.col(column)))
+
+
+def stitched(predictions: DataFrame, scores: str, out: str) -> DataFrame:
+    """One row per row of the keys, from the predictions of model_windows: the class of the largest score where the row counts."""
+    return best_classes(predictions.where("inside"), scores, out).drop("window", "place", "inside", scores)
+
+
+def encoded(sequence: Column, width: int) -> Column:
+    """A sequence of vectors of the given width plus their positions, as sines and cosines of falling frequency."""
+    frequency = lambda j: F.exp((j - j % 2) * (-math.log(10_000.0) / width))
+    wave = lambda i, j: F.when(j % 2 == 0, F.sin(i * frequency(j))).otherwise(F.cos(i * frequency(j)))
+    return F.transform(sequence, lambda row, i: F.transform(row, lambda v, j: v + wave(i, j)))

@@ -54,18 +54,21 @@ o as (select *, case when not sound then 'malformed' when list_sort(json_keys(ca
 """
 
 
+PARSED_SQL = _parsed_sql()
+
+
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     return parse_raw_records(read(spark, folder, "raw_records").select("record_id", "kind", "raw"))
 
 
-@REGISTRY.add(_parsed_sql() + "select record_id, reason from g where reason is not null union all select record_id, reason from o where reason is not null")
+@REGISTRY.add(PARSED_SQL + "select record_id, reason from g where reason is not null union all select record_id, reason from o where reason is not null")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The raw records that fail, with the first reason."""
     return _parsed(spark, folder).where("reason is not null").select("record_id", "reason")
 
 
 @REGISTRY.add(
-    _parsed_sql() + "select record_id, "
+    PARSED_SQL + "select record_id, "
     + ", ".join(f"try_cast(nullif(lower(trim(f[{i}])), '') as double) as {n}" for i, n in ((1, "x"), (2, "y"), (3, "timestamp"), (5, "left_z")))
     + ", lower(trim(f[4])) in ('1', '1.0', 'true') as gaze_point_validity, f[6] as remark from g where reason is null"
 )
@@ -75,7 +78,7 @@ def p1_gaze_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @REGISTRY.add(
-    _parsed_sql() + "select record_id, lower(trim(raw ->> '$.radiologist')) as radiologist, lower(trim(raw ->> '$.fname')) as fname, "
+    PARSED_SQL + "select record_id, lower(trim(raw ->> '$.radiologist')) as radiologist, lower(trim(raw ->> '$.fname')) as fname, "
     + ", ".join(f"cast(cast(json_extract(raw, '$.{k}') as double) as {'bigint' if k in META_INTEGERS else 'double'}) as {k}" for k in META_KEYS[2:])
     + " from o where reason is null"
 )

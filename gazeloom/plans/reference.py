@@ -598,25 +598,3 @@ def z_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Detectors by the sum of two measures' z scores."""
     means = _features(spark, folder).groupBy("detector").agg(F.avg(clean_number("speed_mean")).alias("speed"), F.avg(clean_number("duration_mean")).alias("duration"))
     return _steadied(evaluate.z_scores(means, ["speed", "duration"]).select("detector", "z"), ["z"])
-
-
-def _training(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.complete_rows(_features(spark, folder).select("sample_id", "expert", *FEATURES), ["expert", *FEATURES])
-
-
-@REGISTRY.add()
-def rf_cv_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Out-of-fold scores of expertise by random forests."""
-    return evaluate.forest_predictions(_training(spark, folder), "sample_id", FEATURES, "expert", 5)[0]
-
-
-@REGISTRY.add()
-def svm_cv_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Out-of-fold scores of expertise by linear support vector machines."""
-    return evaluate.svm_predictions(_training(spark, folder), "sample_id", FEATURES, "expert", 5)
-
-
-@REGISTRY.add()
-def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
-    """Importance of every feature as the fall of the AUC without it."""
-    return evaluate.permutation_importance(_training(spark, folder), "sample_id", FEATURES, "expert")

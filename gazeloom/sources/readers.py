@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazeloom.operators.parse_errors import parse_records
+
 GAZE_SCHEMA = "x double, y double, timestamp double, gaze_point_validity string, left_z double"
 META_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("radiologist", "fname")]
@@ -46,12 +48,17 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_meta_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Metadata files, one object each: the readable ones as rows, and the paths of the others."""
-    schema = T.StructType([*META_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    rows = with_recording(rows.select("*", "_metadata"), F.col("_metadata.file_path")).withColumn("path", F.col("_metadata.file_path")).drop("_metadata")
-    bad = F.col("_corrupt_record").isNotNull() | F.col("fname").isNull()
-    return rows.where(~bad).drop("_corrupt_record", "path"), rows.where(bad).select("recording", "path")
+    """Metadata files, one object each: the readable ones as rows, and the paths of the others.
+
+    Readable is a file that holds exactly one JSON object, without anything after it, that names an
+    image. A value of another type than its column's is null.
+    """
+    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    edits = parse_records(F.lit("meta"), F.col("value"), {}, ("meta",)).alias("_edits")
+    rows = text.select("path", F.from_json("value", META_SCHEMA).alias("_meta"), edits)
+    rows = with_recording(rows, F.col("path"))
+    bad = F.coalesce(F.col("_edits.quotes") + F.col("_edits.texts") + F.col("_edits.delimiters") > 0, F.lit(True)) | F.col("_meta.fname").isNull()
+    return rows.where(~bad).select("_meta.*", "date", "image", "recording"), rows.where(bad).select("recording", "path")
 
 
 def arff_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -118,3 +125,68 @@ def tidy_arff_headers(lines: DataFrame) -> DataFrame:
 def write_by_recording(df: DataFrame, path: str, keys: list[str]) -> None:
     """Parquet, a folder per key; rows are brought together by key first, so that a folder has few files."""
     df.repartition(*keys).write.mode("append").partitionBy(*keys).parquet(path)
+
+
+TEXT_OPTIONS = {"header": True, "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+
+
+def write_csv_by_recording(df: DataFrame, path: str, keys: list[str], separator: str = ",") -> None:
+    """Text files with a header line, a folder per key; a key's rows are brought together by key first."""
+    rows = df.repartition(*keys).write.mode("overwrite").options(**TEXT_OPTIONS).option("sep", separator)
+    rows.partitionBy(*keys).csv(path)
+
+
+def write_meta_json(df: DataFrame, path: str) -> None:
+    """One JSON file per row, as recordings' metadata is kept; nulls are left out."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+def benchmark_files(spark: SparkSession, root: str) -> DataFrame:
+    """The ARFF files in folders named benchmarks one level below root: (prefix, path). No file is read."""
+    found = spark.read.format("binaryFile").load(f"{root}/*/benchmarks/*.arff").select("path")
+    return found.select(F.regexp_extract("path", r"([^/]+)/benchmarks/[^/]+$", 1).alias("prefix"), "path")
+
+
+NPZ_ROWS = 1 << 14
+"""Rows of one array file, so that a recording of any length is in files of bounded size."""
+
+
+def pack_npz(df: DataFrame, keys: list[str], order: str, features: list[str], label: str) -> DataFrame:
+    """Array files X (float, rows by features) and Y (whole numbers; a null label is -1): (keys, part, content), NPZ_ROWS of order each."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("part", T.LongType()), T.StructField("content", T.BinaryType())])
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group, file = group.sort_values("_o"), io.BytesIO()
+        np.savez(file, X=group[features].to_numpy(float), Y=group[label].fillna(-1).to_numpy(np.int64))
+        return group[[*keys, "part"]].head(1).assign(content=[file.getvalue()])
+
+    rows = df.select(*keys, F.floor(F.col(order) / NPZ_ROWS).alias("part"), F.col(order).alias("_o"), *features, label)
+    return rows.groupBy(*keys, "part").applyInPandas(pack, schema)
+
+
+def unpack_npz(files: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
+    """The rows of pack_npz: (keys, part, place, features, label), place counting within a file."""
+    import io
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    kept = [*keys, "part"]
+    schema = T.StructType([*[files.schema[k] for k in kept], T.StructField("place", T.LongType()), *[T.StructField(f, T.DoubleType()) for f in features], T.StructField(label, T.LongType())])
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, row in frame.iterrows():
+                with np.load(io.BytesIO(row["content"])) as arrays:
+                    out = pd.DataFrame(arrays["X"], columns=features).assign(place=np.arange(len(arrays["X"])), **{label: arrays["Y"]})
+                for k in kept:
+                    out[k] = row[k]
+                yield out[schema.names]
+
+    return files.select(*kept, "content").mapInPandas(unpack, schema)

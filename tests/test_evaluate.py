@@ -62,9 +62,26 @@ def test_forest_learns_and_importance_finds_the_feature(spark):
     rng = random.Random(1)
     rows = [(i, x, rng.random(), int(x > 0.5)) for i, x in ((i, rng.random()) for i in range(240))]
     df = spark.createDataFrame(rows, "id bigint, good double, noise double, y int")
-    scores, importances = evaluate.forest_predictions(df, "id", ["good", "noise"], "y", 2, trees=5)
+    scores, importances = evaluate.cross_validated(df, "id", ["good", "noise"], "y", 2, evaluate.forest(trees=5))
     assert scores.count() == 240 and evaluate.auc(scores, [], "y", "score").first().auc > 0.95
     assert evaluate.mean_importance(importances, "feature", "importance").first().feature == "good"
+    scores, importances = evaluate.cross_validated(df, "id", ["good", "noise"], "y", 2, evaluate.margins("poly2"), repeats=2)
+    found = {r.feature: r.importance for r in evaluate.mean_importance(importances, "feature", "importance").collect()}
+    assert found["good"] > 0.3 and abs(found["noise"]) < 0.1 and evaluate.audit(scores, "id").first()[:] == (240, 240, 2, True)
+
+
+def test_even_folds(spark):
+    got = evaluate.shuffled_folds(spark.range(23), "id", 5).groupBy("fold").count().collect()
+    assert sorted((r.fold, r["count"]) for r in got) == [(0, 5), (1, 5), (2, 5), (3, 4), (4, 4)]
+    assert {r.fold for r in evaluate.shuffled_folds(spark.range(3), "id", 5).collect()} == {0, 1, 2}
+
+
+def test_rows_by_key(spark):
+    df = spark.createDataFrame([(1, "a", 1, 5.0), (1, None, 2, 7.0), (2, "b", 1, None), (2, "a", 3, 1.0), (None, "a", 1, 1.0)], "k int, v string, o int, x double")
+    kept = cleaning.only_mapped(df, ["k"], F.col("v").isin("a", "b")).collect()
+    assert {r.k for r in kept} == {2} and len(kept) == 2
+    assert len(cleaning.without_matching(df, {"k": 1, "v": None}).collect()) == 4 and len(cleaning.without_matching(df, {"v": "a"}).collect()) == 2
+    assert sorted((r.k, r.o, r.x) for r in cleaning.from_start(df.where("k = 1"), ["k"], "o", ["x"]).collect()) == [(1, 1, 0.0), (1, 2, 2.0)]
 
 
 def test_selection(spark):

@@ -66,3 +66,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.recording_id, r.ord): r.point for r in spark.table("velocities").where("ord >= 2").collect()}
     batch = classify(spark.createDataFrame(rows, schema), ["recording_id"], "t", "ord", "z").collect()
     assert got == {(r.recording_id, r.at): r.point for r in batch} and len(got) == 76
+
+
+def test_benchmark_files_and_arrays(spark, tmp_path):
+    for name in ("one/benchmarks/a.arff", "two/benchmarks/b.arff", "two/other/c.arff", "d.arff"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("@RELATION x")
+    assert sorted(r.prefix for r in readers.benchmark_files(spark, str(tmp_path)).collect()) == ["one", "two"]
+    df = spark.createDataFrame([(1, 0, 1.5, 2), (1, 1, None, None), (1, readers.NPZ_ROWS, 3.0, 0), (None, 5, 9.0, 1)], "k int, o int, x double, y int")
+    files = readers.pack_npz(df, ["k"], "o", ["x"], "y")
+    assert files.count() == 3
+    got = readers.unpack_npz(files, ["k"], ["x"], "y").collect()
+    assert sorted((r.part, r.place, r.y) for r in got if r.k == 1) == [(0, 0, 2), (0, 1, -1), (1, 0, 0)]
