@@ -31,7 +31,12 @@ def distinct_samples(gaze: DataFrame) -> DataFrame:
 
 def valid_samples(gaze: DataFrame) -> DataFrame:
     """Distinct valid samples with both coordinates, NaN being none."""
-    rows = distinct_samples(gaze).where(is_valid(F.col("gaze_point_validity")))
+    return valid_rows(distinct_samples(gaze))
+
+
+def valid_rows(gaze: DataFrame) -> DataFrame:
+    """Valid rows with both coordinates, repeated ones as often as they are."""
+    rows = gaze.where(is_valid(F.col("gaze_point_validity")))
     rows = rows.withColumns({c: clean_number(c) for c in ("x", "y")})
     return rows.where("x is not null and y is not null")
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazeloom.operators.batches import whole_groups
 from gazeloom.operators.islands import with_running_sums
 from gazeloom.operators.kinematics import step_speed
 from gazeloom.operators.ordered import in_blocks
@@ -49,13 +54,16 @@ def hmm_states(df: DataFrame, keys: list[str], order: str, time: str) -> DataFra
     steps = cut_lineage(steps)
     schema = T.StructType([*[steps.schema[k] for k in keys], T.StructField("at", T.LongType()), T.StructField("state", T.IntegerType())])
 
-    def label(key: pd.DataFrame) -> pd.DataFrame:
-        key = key.sort_values("at")
-        return key[[*keys, "at"]].assign(state=two_states(key["speed"].to_numpy()).astype(np.int32))
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, fresh in whole_groups(batches, keys, TOGETHER):
+            states = two_states_of_each(table.column("speed").to_numpy(), np.flatnonzero(fresh))
+            found = table.select([*keys, "at"]).append_column("state", pa.array(states.astype(np.int32)))
+            yield from found.combine_chunks().to_batches()
 
     long = steps.groupBy(*keys).agg(F.min("piece").alias("_first"), F.max("piece").alias("_last")).where("_last > _first").select(*keys, "_first")
     long = cut_lineage(long)  # at most a row per PIECE steps
-    states = steps.join(long, keys, "left_anti").groupBy(*keys).applyInPandas(label, schema)
+    short = steps.join(long, keys, "left_anti").select(*keys, "at", "speed")
+    states = short.repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(label, schema)
     if not long.isEmpty():
         pieces = steps.join(long, keys).withColumn("piece", F.col("piece") - F.col("_first")).drop("_first")
         states = states.unionByName(_long_states(cut_lineage(pieces), keys, schema))
@@ -112,7 +120,8 @@ def _long_states(steps: DataFrame, keys: list[str], schema: T.StructType) -> Dat
     def decode(piece: pd.DataFrame) -> pd.DataFrame:
         piece = piece.sort_values("at")
         model, (entry, last) = np.array(piece["model"].iloc[0]), piece["values"].iloc[0]
-        path = _best_path(_log_densities(piece["speed"].to_numpy(), model), _entries(model, piece["piece"].iloc[0] == 0)[int(entry)], model[6:].reshape(2, 2), int(last))
+        speeds = piece["speed"].to_numpy()
+        path = _paths(speeds, Sequences.at(np.zeros(1, int), len(speeds)), model[None], _entries(model, piece["piece"].iloc[0] == 0)[int(entry)], int(last))
         return piece[[*keys, "at"]].assign(state=(path if model[0] <= model[1] else 1 - path).astype(np.int32))
 
     models = cut_lineage(_halves(steps, keys).select(*keys, "model", F.lit(float("-inf")).alias("likelihood"), F.lit(False).alias("done")))
@@ -145,22 +154,24 @@ def _expected(speeds: np.ndarray, model: np.ndarray, first: bool) -> np.ndarray:
     The logarithm of the likelihood; given both states, the chance of state 0 at the first step, the
     weight, mean and squares about the mean of either state, and the counts of steps inside the piece.
     """
-    logs, step = _log_densities(speeds, model), model[6:].reshape(2, 2)
+    logs = _log_densities(speeds, model)
     top = logs.max(1)
-    density = np.exp(logs - top[:, None])
+    moves = model[6:].reshape(2, 2) * np.exp(logs - top[:, None])[:, None]
+    moves[0] = _entries(model, first) * np.exp(logs[0] - top[0])
+    ahead, back, scale = _all_products(moves)
+    whole = ahead[-1]
     out = np.zeros((2, 2, 12))
-    out[:, :, 0] = -np.inf
-    for i, entry in enumerate(_entries(model, first)):
-        alpha, scale = _forward(density, entry, step)
-        for j in np.flatnonzero(alpha[-1] > 0):
-            beta = _backward(density, step, scale, np.eye(2)[j])
-            weight = alpha * beta
-            weight /= weight.sum(1, keepdims=True)
-            pairs = (alpha[:-1].T @ (density[1:] * beta[1:] / scale[1:, None])) * step / alpha[-1, j]
-            total = np.maximum(weight.sum(0), 1e-300)
-            mean = (weight * speeds[:, None]).sum(0) / total
-            square = (weight * (speeds[:, None] - mean) ** 2).sum(0)
-            out[i, j] = [np.log(scale).sum() + top.sum() + np.log(alpha[-1, j]), weight[0, 0], *weight.sum(0), *mean, *square, *pairs.ravel()]
+    with np.errstate(divide="ignore"):
+        out[:, :, 0] = np.log(whole) + scale + top.sum()
+    for i, j in np.argwhere(whole > 0):
+        weight = ahead[:, i] * back[:, :, j]
+        weight /= weight.sum(1, keepdims=True)
+        pairs = ahead[:-1, i, :, None] * moves[1:] * back[1:, None, :, j]
+        pairs = (pairs / pairs.sum((1, 2), keepdims=True)).sum(0)
+        total = np.maximum(weight.sum(0), 1e-300)
+        mean = (weight * speeds[:, None]).sum(0) / total
+        square = (weight * (speeds[:, None] - mean) ** 2).sum(0)
+        out[i, j] = [out[i, j, 0], weight[0, 0], *weight.sum(0), *mean, *square, *pairs.ravel()]
     return out
 
 
@@ -186,18 +197,15 @@ def _combined(pieces: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _best_scores(speeds: np.ndarray, model: np.ndarray, first: bool) -> np.ndarray:
     """Logarithm of the best path's likelihood for each state before a piece and each state at its end."""
-    rows = _log_densities(speeds, model).tolist()
     with np.errstate(divide="ignore"):
-        (a00, a01), (a10, a11) = np.log(model[6:].reshape(2, 2)).tolist()
-        entries = np.log(_entries(model, first)).tolist()
-    out = []
-    for p, q in entries:
-        for i, (l0, l1) in enumerate(rows):
-            if i:
-                p, q = max(p + a00, q + a10), max(p + a01, q + a11)
-            p, q = p + l0, q + l1
-        out.append([p, q])
-    return np.array(out)
+        steps, entries = np.log(model[6:].reshape(2, 2)), np.log(_entries(model, first))
+    moves = _log_densities(speeds, model)[:, None] + steps
+    moves[0] += entries - steps
+    local = _prefixes(_in_rows(moves, NO_MOVE_LOG), _best_product)[-1]
+    best = local[0]
+    for piece in local[1:]:
+        best = (best[:, :, None] + piece).max(1)
+    return best
 
 
 def _piece_ends(scores: np.ndarray) -> list[tuple[int, int]]:
@@ -214,82 +222,223 @@ def _piece_ends(scores: np.ndarray) -> list[tuple[int, int]]:
     return ends[::-1]
 
 
+# Sequences are cut into rows of ROW steps, on which all work goes on at once, step by step; what
+# enters a row is then carried from row to row. A step is a 2 x 2 matrix from the state before to the
+# state after; steps in a row are multiplied, and a row is filled up with steps that change nothing.
+
+ROW = 128
+TOGETHER = 1 << 16
+"""Steps of short keys, about, whose models are fitted at once."""
+NO_MOVE = np.eye(2)
+with np.errstate(divide="ignore"):
+    NO_MOVE_LOG = np.log(NO_MOVE)
+
+
+def _in_rows(moves: np.ndarray, fill: np.ndarray, places: tuple[np.ndarray, np.ndarray] | None = None, rows: int = 0) -> np.ndarray:
+    """The moves as [ROW, rows, 2, 2]; places are (place in the row, row) of each."""
+    if places is None:
+        at = np.arange(len(moves))
+        places, rows = (at % ROW, at // ROW), -(-len(moves) // ROW)
+    out = np.empty((ROW, rows, 2, 2))
+    out[:] = fill
+    out[places] = moves
+    return out
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., :, 0, None] * b[..., 0, None, :] + a[..., :, 1, None] * b[..., 1, None, :]
+
+
+def _best_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum(a[..., :, 0, None] + b[..., 0, None, :], a[..., :, 1, None] + b[..., 1, None, :])
+
+
+def _prefixes(rows: np.ndarray, product) -> np.ndarray:
+    """Products of each row's moves up to and with each place."""
+    out = np.empty_like(rows)
+    out[0] = rows[0]
+    for t in range(1, len(rows)):
+        out[t] = product(out[t - 1], rows[t])
+    return out
+
+
+def _scaled_prefixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, each divided by its sum, and the logarithm of what a row's last was divided by."""
+    out, scale = np.empty_like(rows), np.zeros(rows.shape[1])
+    here = np.broadcast_to(NO_MOVE, rows.shape[1:])
+    for t in range(len(rows)):
+        here = _product(here, rows[t])
+        total = here.sum((1, 2), keepdims=True)
+        total[total == 0] = 1e-300
+        here = out[t] = here / total
+        scale += np.log(total[:, 0, 0])
+    return out, scale
+
+
+def _scaled_suffixes(rows: np.ndarray) -> np.ndarray:
+    """Products of the moves after each place, divided by their sums."""
+    out = np.empty_like(rows)
+    here = out[-1] = np.broadcast_to(NO_MOVE, rows.shape[1:])
+    for t in range(len(rows) - 2, -1, -1):
+        here = _product(rows[t + 1], here)
+        here = out[t] = here / np.maximum(here.sum((1, 2), keepdims=True), 1e-300)
+    return out
+
+
+def _all_products(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of one sequence: the products up to and with each move and of those after it, up to a factor, and the logarithm of that of the last."""
+    rows = _in_rows(moves, NO_MOVE)
+    ahead, scales = _scaled_prefixes(rows)
+    back = _scaled_suffixes(rows)
+    n = rows.shape[1]
+    into, after = np.empty((n, 2, 2)), np.empty((n, 2, 2))
+    into[0], after[-1], scale = NO_MOVE, NO_MOVE, 0.0
+    for r in range(n):
+        product = _product(into[r], ahead[-1, r])
+        total = product.sum()
+        scale += np.log(total) + scales[r]
+        if r + 1 < n:
+            into[r + 1] = product / total
+    for r in range(n - 1, 0, -1):
+        product = _product(ahead[-1, r], after[r])
+        after[r - 1] = product / product.sum()
+    flat = lambda a: a.swapaxes(0, 1).reshape(-1, 2, 2)[: len(moves)]
+    ahead = _product(into[None], ahead)
+    return flat(ahead / ahead[-1, -1].sum()), flat(_product(back, after[None])), scale
+
+
+@dataclass
+class Sequences:
+    """Places of several sequences' steps, one after the other, in rows."""
+
+    begins: np.ndarray
+    count: np.ndarray
+    first_row: np.ndarray
+    rows_of: np.ndarray
+    rows: int
+    places: tuple[np.ndarray, np.ndarray]
+    of: np.ndarray
+
+    @classmethod
+    def at(cls, begins: np.ndarray, total: int) -> Sequences:
+        count = np.diff(np.append(begins, total))
+        rows_of = -(-count // ROW)
+        first_row = np.cumsum(rows_of) - rows_of
+        of = np.repeat(np.arange(len(begins)), count)
+        place = np.arange(total) - begins[of]
+        return cls(begins, count, first_row, rows_of, int(rows_of.sum()), (place % ROW, first_row[of] + place // ROW), of)
+
+    def carried(self, into: np.ndarray, advance, forward: bool) -> np.ndarray:
+        """Fills into [rows, ...] from each sequence's first row on (or last row back): into[next] = advance(rows, into[rows])."""
+        for k in range(1, int(self.rows_of.max(initial=1))):
+            some = np.flatnonzero(self.rows_of > k)
+            here = self.first_row[some] + (k - 1 if forward else self.rows_of[some] - k)
+            into[here + (1 if forward else -1)] = advance(here, into[here])
+        return into
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.begins)
+
+
 def two_states(speeds: np.ndarray) -> np.ndarray:
     """State 0 or 1 of each speed, 0 being the state of the lower mean."""
-    n = len(speeds)
-    if n < 2 or np.ptp(speeds) == 0:
-        return np.zeros(n, int)
+    return two_states_of_each(speeds, np.zeros(1, int)) if len(speeds) else np.zeros(0, int)
+
+
+def two_states_of_each(speeds: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The same for several sequences, which begin at `begins`, each with a model of its own."""
+    states = np.zeros(len(speeds), int)
+    ends = np.append(begins[1:], len(speeds))
+    varied = [(b, e) for b, e in zip(begins, ends) if e - b > 1 and np.ptp(speeds[b:e])]
+    models = np.array([_start_model(speeds[b:e]) for b, e in varied]).reshape(-1, 10)
+    before, open_ = np.full(len(varied), -np.inf), np.arange(len(varied))
+    pick = lambda chosen: (np.concatenate([speeds[slice(*varied[k])] for k in chosen]), np.cumsum([0, *[varied[k][1] - varied[k][0] for k in chosen[:-1]]]))
+    for _ in range(ROUNDS):
+        if not len(open_):
+            break
+        models[open_], likelihood = _improved(*pick(open_), models[open_])
+        going = likelihood - before[open_] >= TOLERANCE
+        before[open_] = likelihood
+        open_ = open_[going]
+    if len(varied):
+        values, at = pick(np.arange(len(varied)))
+        path = _paths(values, Sequences.at(at, len(values)), models)
+        path = np.where((models[:, 0] <= models[:, 1])[np.repeat(np.arange(len(varied)), [e - b for b, e in varied])], path, 1 - path)
+        for (b, e), p in zip(varied, at):
+            states[b:e] = path[p : p + e - b]
+    return states
+
+
+def _start_model(speeds: np.ndarray) -> np.ndarray:
     high = speeds > np.median(speeds)
     if not high.any():
         high = speeds >= speeds.max()
-    mean = np.array([speeds[~high].mean(), speeds[high].mean()])
-    var = np.array([speeds[~high].var(), speeds[high].var()]) + FLOOR
-    start, step = np.full(2, 0.5), np.array([[0.9, 0.1], [0.1, 0.9]])
-    before = -np.inf
-    for _ in range(ROUNDS):
-        logs = -0.5 * (np.log(2 * np.pi * var) + (speeds[:, None] - mean) ** 2 / var)
-        top = logs.max(1)
-        density = np.exp(logs - top[:, None])
-        alpha, scale = _forward(density, start, step)
-        beta = _backward(density, step, scale)
-        weight = alpha * beta
-        weight /= weight.sum(1, keepdims=True)
-        pairs = (alpha[:-1].T @ (density[1:] * beta[1:] / scale[1:, None])) * step
-        start, step = weight[0], pairs / pairs.sum(1, keepdims=True)
-        total = np.maximum(weight.sum(0), 1e-12)
-        mean = (weight * speeds[:, None]).sum(0) / total
-        var = (weight * (speeds[:, None] - mean) ** 2).sum(0) / total + FLOOR
-        likelihood = np.log(scale).sum() + top.sum()
-        if likelihood - before < TOLERANCE:
-            break
-        before = likelihood
-    path = _best_path(-0.5 * (np.log(2 * np.pi * var) + (speeds[:, None] - mean) ** 2 / var), start, step)
-    return path if mean[0] <= mean[1] else 1 - path
-
-
-def _forward(density: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    alpha, scale = np.empty_like(density), np.empty(len(density))
-    (a00, a01), (a10, a11) = step.tolist()
-    p, q = start[0] * density[0, 0], start[1] * density[0, 1]
-    rows = density.tolist()
-    for i, (d0, d1) in enumerate(rows):
-        if i:
-            p, q = (p * a00 + q * a10) * d0, (p * a01 + q * a11) * d1
-        s = p + q or 1e-300
-        p, q = p / s, q / s
-        alpha[i, 0], alpha[i, 1], scale[i] = p, q, s
-    return alpha, scale
-
-
-def _backward(density: np.ndarray, step: np.ndarray, scale: np.ndarray, last: tuple[float, float] | np.ndarray = (1.0, 1.0)) -> np.ndarray:
-    beta = np.empty_like(density)
-    beta[-1] = last
-    (a00, a01), (a10, a11) = step.tolist()
-    p, q = map(float, last)
-    rows, scales = density.tolist(), scale.tolist()
-    for i in range(len(density) - 2, -1, -1):
-        d0, d1 = rows[i + 1]
-        u, v, s = d0 * p, d1 * q, scales[i + 1]
-        p, q = (a00 * u + a01 * v) / s, (a10 * u + a11 * v) / s
-        beta[i, 0], beta[i, 1] = p, q
-    return beta
-
-
-def _best_path(logs: np.ndarray, start: np.ndarray, step: np.ndarray, last: int | None = None) -> np.ndarray:
+    return np.array([speeds[~high].mean(), speeds[high].mean(), speeds[~high].var() + FLOOR, speeds[high].var() + FLOOR, 0.5, 0.5, 0.9, 0.1, 0.1, 0.9])
+
+
+def _logs_of_each(speeds: np.ndarray, models: np.ndarray, of: np.ndarray) -> np.ndarray:
+    mean, var = models[of, :2], models[of, 2:4]
+    return -0.5 * (np.log(2 * np.pi * var) + (speeds[:, None] - mean) ** 2 / var)
+
+
+def _improved(speeds: np.ndarray, begins: np.ndarray, models: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences' next models, and the logarithm of the present ones' likelihood."""
+    q = Sequences.at(begins, len(speeds))
+    logs = _logs_of_each(speeds, models, q.of)
+    top = logs.max(1)
+    density = np.exp(logs - top[:, None])
+    moves = models[q.of, 6:].reshape(-1, 2, 2) * density[:, None]
+    moves[begins] = (models[:, 4:6] * density[begins])[:, None]  # whatever state is said to be before
+    rows = _in_rows(moves, NO_MOVE, q.places, q.rows)
+    ahead, scale = _scaled_prefixes(rows)
+    back = _scaled_suffixes(rows)
+    whole = ahead[-1]
+    on = lambda v, m: (v[:, :, None] * m).sum(1)
+    share = lambda v: v / np.maximum(v.sum(1, keepdims=True), 1e-300)
+    into = q.carried(np.tile([1.0, 0.0], (q.rows, 1)), lambda r, v: share(on(v, whole[r])), True)
+    after = q.carried(np.ones((q.rows, 2)), lambda r, v: share((whole[r] * v[:, None]).sum(2)), False)
+    with np.errstate(divide="ignore"):
+        likelihood = np.add.reduceat(scale + np.log(on(into, whole).sum(1)), q.first_row) + q.sums(top)
+    alpha = (into[None, :, :, None] * ahead).sum(2)
+    alpha /= np.maximum(alpha.sum(2, keepdims=True), 1e-300)
+    beta = (back * after[None, :, None]).sum(3)[q.places]
+    previous = np.concatenate([into[None], alpha[:-1]])[q.places]
+    weight = share(alpha[q.places] * beta)
+    pairs = previous[:, :, None] * moves * beta[:, None]
+    pairs /= np.maximum(pairs.sum((1, 2), keepdims=True), 1e-300)
+    pairs[begins] = 0
+    pairs = q.sums(pairs)
+    total = np.maximum(q.sums(weight), 1e-12)
+    mean = q.sums(weight * speeds[:, None]) / total
+    var = q.sums(weight * (speeds[:, None] - mean[q.of]) ** 2) / total + FLOOR
+    step = pairs / pairs.sum(2, keepdims=True)
+    return np.concatenate([mean, var, weight[begins], step.reshape(-1, 4)], 1), likelihood
+
+
+def _paths(speeds: np.ndarray, q: Sequences, models: np.ndarray, entry: np.ndarray | None = None, last: int | None = None) -> np.ndarray:
+    """The most likely states of each sequence; entry and last give one sequence's chances of the first state and the state at its end."""
+    logs = _logs_of_each(speeds, models, q.of)
     with np.errstate(divide="ignore"):
-        (a00, a01), (a10, a11) = np.log(step).tolist()
-        first = np.log(start)
-    came = np.zeros((len(logs), 2), np.int8)
-    p, q = (first + logs[0]).tolist()
-    for i, (l0, l1) in enumerate(logs.tolist()):
-        if i:
-            came[i, 0], came[i, 1] = q + a10 > p + a00, q + a11 > p + a01
-            p, q = max(p + a00, q + a10) + l0, max(p + a01, q + a11) + l1
-    path = np.zeros(len(logs), int)
-    path[-1] = int(q > p) if last is None else last
-    for i in range(len(logs) - 1, 0, -1):
-        path[i - 1] = came[i, path[i]]
-    return path
+        steps = np.log(models[:, 6:].reshape(-1, 2, 2))[q.of]
+        moves = logs[:, None] + steps
+        moves[q.begins] = (np.log(models[:, 4:6] if entry is None else entry[None]) + logs[q.begins])[:, None]
+    local = _prefixes(_in_rows(moves, NO_MOVE_LOG, q.places, q.rows), _best_product)
+    into = q.carried(np.zeros((q.rows, 2)), lambda r, v: (v[:, :, None] + local[-1, r]).max(1), True)
+    best = (into[None, :, :, None] + local).max(2)
+    before = np.concatenate([into[None], best[:-1]])[q.places]
+    came = np.tile(np.array([0, 1], np.int8), (ROW, q.rows, 1))  # state before, by state after; the filling's are alike
+    came[q.places] = before[:, 1, None] + steps[:, 1] > before[:, 0, None] + steps[:, 0]
+    ends = q.first_row + q.rows_of - 1
+    final = best[-1, ends]
+    state = np.zeros(q.rows, int)
+    state[ends] = final[:, 1] > final[:, 0] if last is None else last
+    to_end = np.empty((ROW, q.rows, 2), np.int8)  # state at a place, by the row's last
+    to_end[-1] = [0, 1]
+    row = np.arange(q.rows)[:, None]
+    for t in range(ROW - 2, -1, -1):
+        to_end[t] = came[t + 1, row, to_end[t + 1]]
+    q.carried(state, lambda r, v: came[0, r, to_end[0, r, v]], False)
+    return to_end[q.places[0], q.places[1], state[q.places[1]]].astype(int)
 
 
 def hmm_fixations(df: DataFrame, keys: list[str], order: str, time: str) -> DataFrame:

@@ -18,23 +18,51 @@ SPAN = 1 << 14
 """Chunks of a key that one window over chunks holds; spans of chunks are added up one level higher."""
 
 
-def prefix_sums(df: DataFrame, keys: list[str], chunk: str, sums: dict[str, Column]) -> DataFrame:
-    """Per (keys, chunk): for each name of sums, its total over the key's earlier chunks.
-
-    One row per chunk leaves the partial aggregation. Sums run in two levels: over the chunks of a
-    span of SPAN chunk numbers, on top of the totals of the spans before. So a window stays small
-    also where the order is sparse (microseconds since an epoch, say) and each chunk has few rows.
+def carried(
+    df: DataFrame, keys: list[str], chunk: str, order: list[str], sums: dict[str, Column] | None = None,
+    last: list[str] | None = None, first: list[str] | None = None,
+) -> DataFrame:
+    """What crosses the edges of chunks, one row per (keys, chunk).
+
+    - for each name of sums: name, its total over the key's earlier chunks, and name_all, over all;
+    - with last: _previous, a struct of these fields of the last row before the chunk;
+    - with first: _next, a struct of these fields of the first row after the chunk, and _first, of
+      the key's first row.
+
+    One row per chunk leaves the partial aggregation. The rest goes in two levels: over the chunks
+    of a span of SPAN chunk numbers, and over spans. So a window stays small also where the order is
+    sparse (microseconds since an epoch, say) and each chunk has few rows.
     """
-    totals = df.groupBy(*keys, chunk).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("_span", F.floor(F.col(chunk) / SPAN))
-    totals = totals.repartition(*keys, "_span")
-    spans = totals.groupBy(*keys, "_span").agg(*[F.sum(n).alias(n) for n in sums], F.max(chunk).alias("_most"))
-    upto = W.partitionBy(*keys).orderBy("_span").rowsBetween(*BEFORE)
-    none = F.lit(0)
-    spans = spans.select(*keys, "_span", "_most", *[F.coalesce(F.sum(n).over(upto), none).alias(f"_s{i}") for i, n in enumerate(sums)])
-    inside = W.partitionBy(*keys, "_span").orderBy(chunk).rowsBetween(*BEFORE)
-    within = totals.select(*keys, chunk, "_span", *[F.coalesce(F.sum(n).over(inside), none).alias(n) for n in sums])
+    names, sort = list(sums or {}), F.struct(*order)
+    own = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
+    own += [F.max_by(F.struct(*last), sort).alias("_l")] if last else []
+    own += [F.min_by(F.struct(*first), sort).alias("_f")] if first else []
+    chunks = df.groupBy(*keys, chunk).agg(*own).withColumn("_span", F.floor(F.col(chunk) / SPAN)).repartition(*keys, "_span")
+
+    def over(rows: DataFrame, by: list[str], place: str) -> list[Column]:
+        w = W.partitionBy(*by).orderBy(place)
+        whole = W.partitionBy(*by)
+        found = [c for n in names for c in (F.coalesce(F.sum(n).over(w.rowsBetween(*BEFORE)), F.lit(0)).alias(f"_b{n}"), F.sum(n).over(whole).alias(f"_a{n}"))]
+        found += [F.lag("_l").over(w).alias("_p")] if last else []
+        found += [F.lead("_f").over(w).alias("_n"), F.first("_f").over(w).alias("_1")] if first else []
+        return found
+
+    ends = [F.sum(n).alias(n) for n in names] + ([F.max_by("_l", chunk).alias("_l")] if last else []) + ([F.min_by("_f", chunk).alias("_f")] if first else [])
+    spans = chunks.groupBy(*keys, "_span").agg(*ends, F.max(chunk).alias("_most"))
+    spans = spans.select(*keys, "_span", "_most", *over(spans, keys, "_span"))
+    spans = spans.select(*keys, "_span", "_most", *[F.col(c).alias(f"_s{c}") for c in spans.columns if c not in (*keys, "_span", "_most")])
+    within = chunks.select(*keys, chunk, "_span", *over(chunks, [*keys, "_span"], chunk))
     # the condition always holds; with it both sides need all columns, so they are the same shuffle
-    return within.join(spans, [*keys, "_span"]).where(F.col(chunk) <= F.col("_most")).select(*keys, chunk, *[(F.col(n) + F.col(f"_s{i}")).alias(n) for i, n in enumerate(sums)])
+    both = within.join(spans, [*keys, "_span"]).where(F.col(chunk) <= F.col("_most"))
+    out = [c for n in names for c in ((F.col(f"_b{n}") + F.col(f"_s_b{n}")).alias(n), F.col(f"_s_a{n}").alias(f"{n}_all"))]
+    out += [F.coalesce("_p", "_s_p").alias("_previous")] if last else []
+    out += [F.coalesce("_n", "_s_n").alias("_next"), F.col("_s_1").alias("_first")] if first else []
+    return both.select(*keys, chunk, *out)
+
+
+def prefix_sums(df: DataFrame, keys: list[str], chunk: str, sums: dict[str, Column]) -> DataFrame:
+    """Per (keys, chunk): for each name of sums, its total over the key's earlier chunks."""
+    return carried(df, keys, chunk, [chunk], sums).select(*keys, chunk, *sums)
 
 
 def with_position(df: DataFrame, keys: list[str], chunk: str, order: list[str], out: str) -> DataFrame:
@@ -63,17 +91,12 @@ def with_previous(df: DataFrame, keys: list[str], chunk: str, order: list[str],
 
 
 def _with_neighbour(df, keys, chunk, order, fields, out, forward):
-    sort, value = F.struct(*order), F.struct(*fields)
-    pick, step = (F.min_by, F.lead) if forward else (F.max_by, F.lag)
-    edge = df.groupBy(*keys, chunk).agg(pick(value, sort).alias("_own")).withColumn("_span", F.floor(F.col(chunk) / SPAN)).repartition(*keys, "_span")
-    # a span's edge is that of its chunk nearest to the neighbouring span
-    spans = edge.groupBy(*keys, "_span").agg((F.min_by if forward else F.max_by)("_own", chunk).alias("_far"))  # reads all columns, so both sides share the shuffle
-    spans = spans.select(*keys, "_span", step("_far").over(W.partitionBy(*keys).orderBy("_span")).alias("_far"))
-    edge = edge.withColumn("_edge", step("_own").over(W.partitionBy(*keys, "_span").orderBy(chunk))).join(spans, [*keys, "_span"])
-    edge = edge.select(*keys, chunk, F.coalesce("_edge", "_far").alias("_edge"))
+    side = {"first": fields} if forward else {"last": fields}
+    edge = carried(df, keys, chunk, order, **side).select(*keys, chunk, F.col("_next" if forward else "_previous").alias("_edge"))
     inside = W.partitionBy(*keys, chunk).orderBy(*order)
+    step = F.lead if forward else F.lag
     return (
-        df.withColumn("_inside", step(value).over(inside))
+        df.withColumn("_inside", step(F.struct(*fields)).over(inside))
         .join(edge, [*keys, chunk])
         .withColumn(out, F.coalesce("_inside", "_edge"))
         .drop("_inside", "_edge")

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazeloom.operators.batches import begins, whole_groups
 from gazeloom.operators.ordered import clean_number, known, prefix_sums
 from gazeloom.session import cut_lineage
 
@@ -120,7 +120,7 @@ def _new_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([last, batch] if last is not None else [batch])
-        fresh = _begins(table, table.schema.names)
+        fresh = begins(table, table.schema.names)
         fresh[0] = last is None
         last = batch.slice(batch.num_rows - 1)
         kept = table.filter(pa.array(fresh)).combine_chunks().to_batches()
@@ -128,7 +128,7 @@ def _new_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_steps(batches: Iterator[pa.RecordBatch], group: list[str], n: int) -> Iterator[pa.RecordBatch]:
-    for table, fresh in _whole_blocks(_new_rows(batches), group):
+    for table, fresh in whole_groups(_new_rows(batches), group, CHUNK):
         first = np.flatnonzero(fresh)
         of = np.cumsum(fresh) - 1
         counts, steps = [], []
@@ -201,7 +201,7 @@ def _in_blocks(readings: DataFrame, facts: DataFrame, keys: list[str], n: int) -
 
 def _judged(batches: Iterator[pa.RecordBatch], keys: list[str], n: int, chunk: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Flagged readings of sorted blocks, as many whole blocks at a time as have arrived."""
-    for table, fresh in _whole_blocks(batches, [*keys, "_block"]):
+    for table, fresh in whole_groups(batches, [*keys, "_block"], CHUNK):
         group = np.cumsum(fresh)
         numbers = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
         for i in range(n):
@@ -224,39 +224,6 @@ def _judged(batches: Iterator[pa.RecordBatch], keys: list[str], n: int, chunk: i
                 yield pa.RecordBatch.from_arrays([*columns, *flags], names=names)
 
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of the sorted rows, at least CHUNK rows each but for the last, and where a group begins."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        waiting.append(batch)
-        if sum(b.num_rows for b in waiting) < CHUNK:
-            continue
-        table = pa.Table.from_batches(waiting)
-        fresh = _begins(table, by)
-        cut = int(np.flatnonzero(fresh)[-1])
-        if cut:
-            yield table.slice(0, cut), fresh[:cut]
-        waiting = table.slice(cut).to_batches()
-    if waiting:
-        table = pa.Table.from_batches(waiting)
-        if table.num_rows:
-            yield table, _begins(table, by)
-
-
-def _begins(table: pa.Table, by: list[str]) -> np.ndarray:
-    """True where a row differs from the one before in one of the columns; nulls are alike."""
-    fresh = np.zeros(table.num_rows, bool)
-    fresh[:1] = True
-    for c in by:
-        column = table.column(c).combine_chunks()
-        here, before = column.slice(1), column.slice(0, len(column) - 1)
-        differ = pc.fill_null(pc.not_equal(here, before), False)
-        if column.null_count:
-            differ = pc.or_(differ, pc.xor(here.is_null(), before.is_null()))
-        fresh[1:] |= differ.to_numpy(zero_copy_only=False)
-    return fresh
-
-
 def judge(v: np.ndarray, group: np.ndarray, scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stuck and spike of each reading, of readings in order by group.
 

@@ -382,8 +382,9 @@ LOOSE = ivt.Thresholds(merge_velocity=100.0)
 
 
 def _islands(spark: SparkSession, folder: str) -> DataFrame:
-    samples = _samples(spark, folder).withColumn("left_z", clean_number("left_z")).select("recording_id", "ord", "x", "y", "left_z", "t")
-    return ivt.fixations(ivt.classify(samples, REC, "t", "ord", "left_z"), REC)
+    samples = cleaning.valid_rows(read(spark, folder, "gaze")).withColumn("left_z", clean_number("left_z"))
+    samples = samples.select("recording_id", "ord", "x", "y", "left_z", F.col("timestamp").alias("t"))
+    return ivt.velocity_fixations(samples, REC, "t", "ord", "left_z")
 
 
 def _steadied(df: DataFrame, columns: list[str]) -> DataFrame:
