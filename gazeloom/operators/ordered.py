@@ -37,7 +37,9 @@ def carried(
     own = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
     own += [F.max_by(F.struct(*last), sort).alias("_l")] if last else []
     own += [F.min_by(F.struct(*first), sort).alias("_f")] if first else []
-    chunks = df.groupBy(*keys, chunk).agg(*own).withColumn("_span", F.floor(F.col(chunk) / SPAN)).repartition(*keys, "_span")
+    # the span is an aggregate, so that a join's filter on it stays above, and df's own shuffle is the same for all its readers
+    span = F.max(F.floor(F.col(chunk) / SPAN)).alias("_span")
+    chunks = df.groupBy(*keys, chunk).agg(*own, span).repartition(*keys, "_span")
 
     def over(rows: DataFrame, by: list[str], place: str) -> list[Column]:
         w = W.partitionBy(*by).orderBy(place)
