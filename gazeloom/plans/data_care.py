@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gazeloom.operators.grid import regular_grid
 from gazeloom.operators.intervals import covered_periods, fixation_intervals
 from gazeloom.operators.parse_errors import parse_raw_records
-from gazeloom.operators.spikes import spike_flags
+from gazeloom.operators.spikes import FENCE, IQR_OF_DIFFERENCES, LEVEL, LONGEST_SPIKE, PRIOR, spike_flags
 from gazeloom.plans.registry import Registry
 from gazeloom.session import read, scratch_folder
 from gazeloom.sources.archive import GAZE_COLUMNS, consolidate, gaze_file_records, intact_files, pack_containers, read_containers, repeated_records, write_containers
@@ -95,17 +95,72 @@ def _spikes(spark: SparkSession, folder: str) -> DataFrame:
     return spike_flags(gaze, ["recording_id"], "ord", ["x", "y"], F.col("gaze_point_validity").isin(*VALID), limits, hour)
 
 
-@REGISTRY.add()
+def _certain_sql(axis: str, size: str) -> str:
+    """CTEs: readings of an axis, runs of equal values, and the ords that are impossible or stuck."""
+    return f"""r{axis} as (select recording_id, ord, {axis} as v, {size} as size, case when {axis} = lag({axis}) over w then 0 else 1 end as fresh from g
+  where {axis} is not null and not isnan({axis}) window w as (partition by recording_id order by ord, {axis})),
+q{axis} as (select *, sum(fresh) over (partition by recording_id order by ord, v rows unbounded preceding) as run from r{axis}),
+f{axis} as (select recording_id, ord, v < -0.1 * size or v > 1.1 * size as impossible, count(*) over (partition by recording_id, run) >= 12 as stuck from q{axis})"""
+
+
+CERTAIN = f"""
+with g as (select distinct recording_id, ord, x, y, screen_w, screen_h from gaze left join trackers using (tracker_id) where gaze_point_validity in ('1', '1.0', 'True') and recording_id is not null and ord is not null),
+{_certain_sql('x', 'screen_w')}, {_certain_sql('y', 'screen_h')},
+f as (select *, 'x' as axis from fx union all select *, 'y' from fy)
+select recording_id, ord, axis, coalesce(impossible, false) as impossible, stuck from f where impossible or stuck
+"""
+
+
+def _scatter_sql(values: str) -> str:
+    """The scatter of a group's steps by exact quartiles, or wider quantiles where these are equal."""
+    spread = lambda low, high: f"(quantile_cont({values}, {high}) - quantile_cont({values}, {low}))"
+    usual, wide = f"{spread(0.25, 0.75)} / {IQR_OF_DIFFERENCES}", f"{spread(0.1, 0.9)} / {IQR_OF_DIFFERENCES * 1.9}"
+    return f"case when {usual} > 0 then {usual} when {wide} > 0 then {wide} end"
+
+
+def _flags_sql() -> str:
+    excursions = []
+    for k in range(1, LONGEST_SPIKE + 1):
+        before, after = "lag(v) over w", f"lead(v, {k}) over w"
+        apart = f"least(coalesce(abs({before} - lag(v, 2) over w), 0), coalesce(abs(lead(v, {k + 1}) over w - {after}), 0))"
+        leaves = " and ".join(f"abs(lead(v, {j}) over w - ({before} + {after}) / 2) > {FENCE} * sc" for j in range(k))
+        excursions.append(f"coalesce(abs({before} - {after}) <= {LEVEL} * sc and {apart} <= {LEVEL} * sc and {leaves}, false) as e{k}")
+    spike = " or ".join(f"coalesce(lag(e{k}, {j}) over w, false)" if j else f"e{k}" for k in range(1, LONGEST_SPIKE + 1) for j in range(k))
+    return (
+        CERTAIN.partition("select recording_id, ord, axis, coalesce(impossible")[0].rstrip()
+        + f""", g2 as (select distinct recording_id, ord, x, y, cast(floor(timestamp / 3600) as bigint) % 24 as h from gaze where gaze_point_validity in ('1', '1.0', 'True')),
+v as (select f.*, g2.h, case when axis = 'x' then g2.x else g2.y end as v from f join g2 using (recording_id, ord)),
+t as (select *, case when not coalesce(impossible, false) then v - lag(v) over (partition by recording_id, axis order by ord, v) end as step from v),
+sh as (select recording_id, axis, h, {_scatter_sql('step')} as own, count(step) as n from t group by all),
+sr as (select recording_id, axis, {_scatter_sql('step')} as source from t group by all),
+sc as (select recording_id, axis, h, coalesce((own * n + source * {PRIOR}) / (n + {PRIOR}), source) as sc from sh join sr using (recording_id, axis)),
+e as (select recording_id, axis, ord, v, impossible, stuck, {', '.join(excursions)} from t join sc using (recording_id, axis, h) window w as (partition by recording_id, axis order by ord, v)),
+k as (select recording_id, axis, ord, coalesce(impossible, false) as impossible, stuck, {spike} as spike from e window w as (partition by recording_id, axis order by ord, v))
+"""
+    )
+
+
+FLAGS = _flags_sql()
+
+
+@REGISTRY.add(FLAGS + "select distinct recording_id, ord from k where impossible or stuck or spike")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The valid samples that cannot be true readings."""
     flags = _spikes(spark, folder)
     return flags.groupBy("recording_id", "ord").agg(F.count(F.lit(1)).alias("n")).select("recording_id", F.col("ord").cast("int").alias("ord"))
 
 
-@REGISTRY.add()
+@REGISTRY.add(FLAGS + "select recording_id, ord, axis, impossible, stuck, spike from k where impossible or stuck or spike")
 def p3_flags(spark: SparkSession, folder: str) -> DataFrame:
     """The same by axis and kind."""
-    return _spikes(spark, folder)
+    return _spikes(spark, folder).withColumn("ord", F.col("ord").cast("int"))
+
+
+@REGISTRY.add(CERTAIN)
+def p3_certain(spark: SparkSession, folder: str) -> DataFrame:
+    """The flags that don't rest on a scatter: impossible and stuck readings by axis."""
+    rows = _spikes(spark, folder).where("impossible or stuck")
+    return rows.select("recording_id", F.col("ord").cast("int").alias("ord"), "axis", "impossible", "stuck")
 
 
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,10 +183,26 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder).where("status = 'gap'").select("recording_id", "slot")
 
 
-@REGISTRY.add()
+GRID = """
+with u as (select distinct recording_id, timestamp as t, x, y from gaze
+  where gaze_point_validity in ('1', '1.0', 'True') and x is not null and y is not null and not isnan(x) and not isnan(y) and recording_id is not null and timestamp is not null),
+s as (select *, cast(floor(t * 10) as bigint) as slot, lead(t) over w as tn, lead(x) over w as xn, lead(y) over w as yn from u window w as (partition by recording_id order by t, x, y)),
+c as (select *, unnest(range(slot, coalesce(cast(floor(tn * 10) as bigint), slot) + 1)) as cell from s),
+p as (select *, greatest(t, cell / 10.0) as since, least(tn, (cell + 1) / 10.0) as until, tn - t as len from c),
+o as (select *, case when len > 0 then greatest(until - since, 0.0) else 0.0 end as overlap, case when len > 0 then ((since + until) / 2 - t) / len end as mid from p),
+k as (select recording_id, cell as slot, sum(case when cell = slot then 1 else 0 end) as n_readings, sum(overlap) as ov, sum(coalesce((x + (xn - x) * mid) * overlap, 0.0)) as ix,
+  sum(coalesce((y + (yn - y) * mid) * overlap, 0.0)) as iy, avg(case when cell = slot then x end) as x, avg(case when cell = slot then y end) as y from o group by recording_id, cell)
+"""
+GRID_VALUES = "round(case when ov > 0 then i{c} / ov else {c} end + 1.7e-5, 3) as {c}"
+
+
+@REGISTRY.add(
+    GRID + f"select recording_id, slot, {GRID_VALUES.format(c='x')}, {GRID_VALUES.format(c='y')}, cast(n_readings as bigint) as n_readings, case when n_readings > 0 then 'observed' else 'gap' end as status from k"
+)
 def p4_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """x and y for every 0.1 s of each recording."""
-    return _grid(spark, folder)
+    """x and y for every 0.1 s of each recording, to a thousandth of a pixel."""
+    rows = _grid(spark, folder)
+    return rows.withColumns({c: F.round(F.col(c) + 1.7e-5, 3) for c in ("x", "y")})
 
 
 HEADER = ",".join(GAZE_COLUMNS)
