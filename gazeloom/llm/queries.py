@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazeloom.functions.scalars import steady
 from gazeloom.llm.mixing import mix, shares
 from gazeloom.llm.packing import fill_report, pack
-from gazeloom.llm.quality import quality_statistics
+from gazeloom.llm.quality import COMMON_WORDS, quality_statistics
 from gazeloom.llm.runs import event_runs
 from gazeloom.llm.splits import assign_splits, connected_groups
 from gazeloom.llm.tokens import token_counts
@@ -136,6 +137,27 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality_statistics(read(spark, folder, "documents"), "doc_id", "text").where("kind = 'prose'").select("doc_id")
 
 
+WORD = "([A-Za-z]|[^\\x00-\\x7F])+"
+COMMON_SQL = ", ".join(f"'{v}'" for v in dict.fromkeys(COMMON_WORDS))
+PLAIN = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '{WORD}') as words, regexp_replace(t, '[\\t\\n\\x0B\\f\\r ]', '', 'g') as ink, regexp_replace(t, '[\\x00-@\\[-`\\x7B-\\x7F]', '', 'g') as letters from d),
+c as (select *, len(words) as n_words, octet_length(encode(ink)) as n_ink, octet_length(encode(letters)) as n_letters, len(regexp_extract_all(ink, '[0-9]')) as n_digits,
+  len(list_filter(words, lambda v: lower(v) in ({COMMON_SQL}))) as n_common,
+  list_filter(list_transform(string_split_regex(t, '[\\n\\r]'), lambda l: regexp_replace(regexp_replace(l, '^[\\t\\x0B\\f ]+', ''), '[\\t\\x0B\\f ]+$', '')), lambda l: l <> '') as lines from w),
+e as (select *, len(list_filter(lines, lambda l: regexp_matches(case when length(l) > 1 and right(l, 1) in ('"', chr(39), ')', '*', '_') then left(l, length(l) - 1) else l end, '[.!?]$'))) as n_ended from c)
+select doc_id, n_words, round(coalesce(n_letters / nullif(n_words, 0), 0) + 1.7e-9, 6) as mean_word_length, round(coalesce((n_ink - n_letters - n_digits) / nullif(n_ink, 0), 0) + 1.7e-9, 6) as symbol_ratio,
+  round(coalesce(n_ended / nullif(len(lines), 0), 0) + 1.7e-9, 6) as punctuated_line_share, round(coalesce(n_common / nullif(n_words, 0), 0) + 1.7e-9, 6) as common_word_share from e
+"""
+
+
+@REGISTRY.add(PLAIN)
+def p10_plain_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every document that don't rest on the labels of its lines."""
+    names = ["mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share"]
+    return p10_statistics(spark, folder).select("doc_id", "n_words", *[steady(n).alias(n) for n in names])
+
+
 @REGISTRY.add()
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and kind of every document."""
