@@ -60,6 +60,7 @@ def _place_tree(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     starts = np.concatenate([[0], np.cumsum([len(c) for c in cells])[:-1]]).astype(int)
     by_cell = np.concatenate(cells)
     component, count = np.arange(n), n
+    # distances are squared
     near, distance, stale = np.zeros(n, int), np.zeros(n), np.ones(n, bool)  # of a stale point the distance is a lower bound
     edges = []
     while count > 1:
@@ -94,10 +95,11 @@ def _place_tree(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _nearest(x, y, points, component, bound, cells, sides, only) -> tuple[np.ndarray, np.ndarray]:
-    """Distance and number of the nearest point of another component, exact where it is within bound."""
+    """Squared distance and number of the nearest point of another component, exact where it is within bound (squared)."""
     px, py, own = x[points], y[points], component[points]
     left, right, bottom, top = sides
-    gap = np.hypot(np.maximum(0, np.maximum(left - px.max(), px.min() - right)), np.maximum(0, np.maximum(bottom - py.max(), py.min() - top))) * (1 - 1e-12)
+    gap = np.maximum(0, np.maximum(left - px.max(), px.min() - right)) ** 2 + np.maximum(0, np.maximum(bottom - py.max(), py.min() - top)) ** 2
+    gap *= 1 - 1e-12
     other = gap <= bound.max()
     if (own == own[0]).all():
         other &= only != own[0]
@@ -108,8 +110,12 @@ def _nearest(x, y, points, component, bound, cells, sides, only) -> tuple[np.nda
         if gap[c] > np.minimum(w, bound).max():
             break
         members = cells[c]
-        d = np.hypot(px[:, None] - x[members], py[:, None] - y[members])
-        d[own[:, None] == component[members]] = np.inf
+        d, dy = px[:, None] - x[members], py[:, None] - y[members]
+        d *= d
+        dy *= dy
+        d += dy
+        if only[c] < 0 or (own == only[c]).any():
+            d[own[:, None] == component[members]] = np.inf
         j = d.argmin(1)
         there, which = d[rows, j], members[j]
         closer = (there < w) | ((there == w) & (which < q))

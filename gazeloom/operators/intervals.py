@@ -66,7 +66,7 @@ def covered_periods(df: DataFrame, keys: list[str], ident: str, start_us: str, e
 def fixation_intervals(fixations: DataFrame) -> DataFrame:
     """fixations with start_us and end_us in whole microseconds; end_us from elapsed_time where end_time is missing."""
     us = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
-    known = lambda c: F.when(~F.isnan(c), us(c))
-    return fixations.withColumn("start_us", known("start_time")).withColumn(
-        "end_us", F.coalesce(known("end_time"), F.col("start_us") + known("elapsed_time"))
+    present = lambda c: F.when(~F.isnan(c), us(c))
+    return fixations.withColumn("start_us", present("start_time")).withColumn(
+        "end_us", F.coalesce(present("end_time"), F.col("start_us") + present("elapsed_time"))
     )
