@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from gazeloom.operators.batches import whole_groups
 from gazeloom.operators.islands import with_running_sums
-from gazeloom.operators.kinematics import step_speed
-from gazeloom.operators.ordered import in_blocks
+from gazeloom.operators.kinematics import speed_between
+from gazeloom.operators.ordered import BLOCK, carried, known
 from gazeloom.session import cut_lineage
 
 PIECE = 1 << 15
@@ -48,27 +48,41 @@ def hmm_states(df: DataFrame, keys: list[str], order: str, time: str) -> DataFra
     round every piece gives its expected counts for each pair of states before it and at its end,
     and a key's pieces, one row each, are put together. The same goes for the path.
     """
-    placed = in_blocks(df, keys, order, 1)
-    speeds = step_speed(placed.withColumn("at", F.col("_at")), keys, time)
-    steps = speeds.where("speed is not null").select(*keys, F.floor((F.col("at") - 1) / PIECE).alias("piece"), (F.col("at") - 1).alias("at"), "speed")
-    steps = cut_lineage(steps)
-    schema = T.StructType([*[steps.schema[k] for k in keys], T.StructField("at", T.LongType()), T.StructField("state", T.IntegerType())])
+    rows = known(df.withColumn("_chunk", F.floor(F.col(order) / BLOCK)), [*keys, "_chunk"]).repartition(*keys, "_chunk")
+    place = ["x", "y", time]
+    edges = carried(rows, keys, "_chunk", [order], {"_base": F.lit(1)}, first=place)
+    w = W.partitionBy(*keys, "_chunk").orderBy(order)
+    placed = rows.withColumns({"_inside": F.row_number().over(w) - 1, "_lead": F.lead(F.struct(*place)).over(w)}).join(edges, [*keys, "_chunk"])
+    following = F.coalesce("_lead", "_next")
+    speed = speed_between(*[following[c] - F.col(c) for c in place])
+    placed = placed.select(*df.columns, (F.col("_base") + F.col("_inside")).alias("at"), F.when(~F.isnan(speed), speed).alias("speed"))
+    placed = cut_lineage(placed)
+    schema = T.StructType([*df.schema.fields, T.StructField("at", T.LongType()), T.StructField("state", T.IntegerType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, fresh in whole_groups(batches, keys, TOGETHER):
-            states = two_states_of_each(table.column("speed").to_numpy(), np.flatnonzero(fresh))
-            found = table.select([*keys, "at"]).append_column("state", pa.array(states.astype(np.int32)))
+            speeds = table.column("speed").to_numpy()
+            there = np.flatnonzero(~np.isnan(speeds))
+            group = np.cumsum(fresh)[there]
+            states = np.zeros(len(speeds), np.int32)
+            if len(there):
+                states[there] = two_states_of_each(speeds[there], np.flatnonzero(np.diff(group, prepend=0)))
+            found = table.drop_columns(["speed"]).append_column("state", pa.array(states, mask=np.isnan(speeds)))
             yield from found.combine_chunks().to_batches()
 
+    steps = placed.where("speed is not null").select(*keys, F.floor(F.col("at") / PIECE).alias("piece"), "at", "speed")
     long = steps.groupBy(*keys).agg(F.min("piece").alias("_first"), F.max("piece").alias("_last")).where("_last > _first").select(*keys, "_first")
     long = cut_lineage(long)  # at most a row per PIECE steps
-    short = steps.join(long, keys, "left_anti").select(*keys, "at", "speed")
-    states = short.repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(label, schema)
-    if not long.isEmpty():
+    some = not long.isEmpty()
+    short = placed.join(long, keys, "left_anti") if some else placed
+    labelled = short.repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(label, schema)
+    if some:
         pieces = steps.join(long, keys).withColumn("piece", F.col("piece") - F.col("_first")).drop("_first")
-        states = states.unionByName(_long_states(cut_lineage(pieces), keys, schema))
-    rows = placed.where("_core").withColumn("at", F.col("_at")).drop("_at", "_block", "_core")
-    return rows.join(cut_lineage(states), [*keys, "at"], "left")
+        of_steps = T.StructType([*[steps.schema[k] for k in keys], *schema.fields[-2:]])
+        states = _long_states(cut_lineage(pieces), keys, of_steps)
+        whole = placed.drop("speed").join(long.select(*keys), keys, "left_semi").join(states, [*keys, "at"], "left")
+        labelled = labelled.unionByName(whole)
+    return cut_lineage(labelled)
 
 
 def _halves(steps: DataFrame, keys: list[str]) -> DataFrame:

@@ -28,12 +28,16 @@ def _core(df: DataFrame) -> DataFrame:
     return df.where("_core").drop(*BLOCKED)
 
 
+def speed_between(dx: Column, dy: Column, dt: Column) -> Column:
+    """Distance over time, 0 where no time has passed, null where one isn't known."""
+    return F.when(dt > 0, F.try_divide(F.sqrt(dx * dx + dy * dy), dt)).when(dt <= 0, 0.0)
+
+
 def step_speed(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Adds speed from the row before: distance over time, 0 where no time has passed, null in a key's first row."""
     w = _window(keys)
     dx, dy, dt = (F.col(c) - F.lag(c).over(w) for c in ("x", "y", time))
-    distance = F.sqrt(dx * dx + dy * dy)
-    return _core(df.withColumn("speed", F.when(dt > 0, F.try_divide(distance, dt)).when(dt <= 0, 0.0)))
+    return _core(df.withColumn("speed", speed_between(dx, dy, dt)))
 
 
 def _ends(step: int, scale: int, confident: Column, w) -> tuple[Column, Column]:
