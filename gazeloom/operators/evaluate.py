@@ -174,17 +174,23 @@ def margins(kernel: str = "linear", waves: int = 64, seed: int = 42) -> Learner:
     return fit
 
 
+def _constant(classes: list[float], n_features: int) -> Fitted:
+    return Fitted(lambda df: df.withColumn("score", F.lit(float(classes[0]) if classes else 0.5)), [0.0] * n_features)
+
+
 def cross_validated(df: DataFrame, ident: str, features: list[str], label: str, folds: int, learner: Learner, repeats: int = 0) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores (ident, fold, label, score), and importances (fold, feature, importance).
 
-    Folds are shuffled_folds. Importances are the learner's own or, with repeats, the mean fall of
+    Folds are shuffled_folds. Where all rows to learn from have one label, each score is that label,
+    and where there are none, 0.5. Importances are the learner's own or, with repeats, the mean fall of
     the fold's AUC over that many permutations of each feature among the fold's held-out rows.
     """
     data = cut_lineage(shuffled_folds(df, ident, folds).select(ident, "fold", F.col(label).cast("double").alias(label), *features))
     scores, importances = [], []
     for fold in range(folds):  # folds are a small parameter
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        model = learner(train, features, label)
+        classes = [row[0] for row in train.select(label).distinct().limit(2).collect()]
+        model = learner(train, features, label) if len(classes) > 1 else _constant(classes, len(features))
         scores.append(model.score(test).select(ident, "fold", label, "score"))
         if repeats:
             importances.append(_permutation(model, test, ident, features, label, repeats).withColumn("fold", F.lit(fold)))

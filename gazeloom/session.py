@@ -36,8 +36,8 @@ def cut_lineage(df: DataFrame, after: tuple[DataFrame, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     path = f"{_table_folder(spark)}/table-{uuid.uuid4().hex}"
-    _on_files(context, path, "deleteOnExit")
     df.write.parquet(path)
+    _on_files(context, path, "deleteOnExit")
     for table in after:
         if (old := getattr(table, "_lineage_table", None)) is not None:
             _on_files(context, old, "delete", True)
@@ -49,8 +49,9 @@ def cut_lineage(df: DataFrame, after: tuple[DataFrame, ...] = ()) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """The name of a new folder beside the tables of cut_lineage, deleted when the session's JVM ends."""
     path = f"{_table_folder(spark)}/files-{uuid.uuid4().hex}"
-    _on_files(spark.sparkContext, path, "deleteOnExit")
-    return path
+    _on_files(spark.sparkContext, path, "mkdirs")
+    _on_files(spark.sparkContext, path, "deleteOnExit")  # only what exists can be registered
+    return f"{path}/data"
 
 
 def _table_folder(spark: SparkSession) -> str:
