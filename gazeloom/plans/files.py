@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,17 @@ REGISTRY = Registry()
 
 def _named(column: str, key: str) -> Column:
     """The number in a folder's name key=number."""
-    return F.regexp_extract(column, f"{key}=([0-9]+)", 1).cast("bigint")
+    return F.regexp_extract(column, f"{key}=(-?[0-9]+)", 1).cast("bigint")
+
+
+def _read_back(found: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What found reads from a folder that was just written; no rows if nothing was, as then there is no file with a header."""
+    try:
+        return found()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return SparkSession.active().createDataFrame([], schema)
 
 
 @REGISTRY.add("select distinct recording_id, tracker_id, x, y, timestamp, gaze_point_validity, left_z from gaze where recording_id is not null and tracker_id is not null")
@@ -25,7 +38,7 @@ def gaze_csv_files(spark: SparkSession, folder: str) -> DataFrame:
     gaze = read(spark, folder, "gaze").select("recording_id", "tracker_id", "x", "y", "timestamp", "gaze_point_validity", "left_z").distinct()
     root = scratch_folder(spark)
     readers.write_csv_by_recording(gaze.where("recording_id is not null and tracker_id is not null"), root, ["tracker_id", "recording_id"])
-    rows = readers.read_gaze_csv(spark, f"{root}/*/*/*.csv")
+    rows = _read_back(lambda: readers.read_gaze_csv(spark, f"{root}/*/*/*.csv", multiline=True), f"date string, image string, {readers.GAZE_SCHEMA}")
     return rows.select(_named("image", "recording_id").alias("recording_id"), _named("date", "tracker_id").cast("int").alias("tracker_id"), "x", "y", "timestamp", "gaze_point_validity", "left_z")
 
 

@@ -15,25 +15,32 @@ META_SCHEMA = T.StructType(
     + [T.StructField(n, T.LongType()) for n in ("global_ind", "num_part", "num_img")]
     + [T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "win_width", "win_height")]
 )
+# nullValue stands for values left out; it is no character, and the default, "", would turn texts without characters into null.
+READ_OPTIONS = {"header": True, "escape": '"', "nullValue": "\uffff"}
 TSV_SCHEMA = "X_coord double, Y_coord double, Confidence double, Pattern string"
-# Fixed value: the part of a path that names a recording, <date>/<image>/<file>.
-RECORDING_PATH = r"([^/]+)/([^/]+)/[^/]+$"
+
+
+def _part(path: Column, place: int) -> Column:
+    """A path's part by its place from the end; 1 is the file. Regular expressions try every start of a long path, in every row."""
+    return F.substring_index(F.substring_index(path, "/", -place), "/", 1)
 
 
 def with_recording(df: DataFrame, path: Column | None = None) -> DataFrame:
-    """Adds date, image and recording (date/image) from the path of each row's file."""
+    """Adds date, image and recording (date/image) from the path of each row's file, <date>/<image>/<file>."""
     path = F.col("_metadata.file_path") if path is None else path
-    date, image = (F.regexp_extract(path, RECORDING_PATH, i) for i in (1, 2))
+    date, image = _part(path, 3), _part(path, 2)
     return df.withColumns({"date": date, "image": image}).withColumn("recording", F.concat_ws("/", "date", "image"))
 
 
-def read_gaze_csv(spark: SparkSession, path: str, schema: str = GAZE_SCHEMA) -> DataFrame:
+def read_gaze_csv(spark: SparkSession, path: str, schema: str = GAZE_SCHEMA, multiline: bool = False) -> DataFrame:
     """Gaze files with a header line, of any number of recordings: path may be a pattern such as root/*/*/gaze.csv.
 
-    Columns are taken by name, so files may have more or fewer; a missing one is null.
+    Columns are taken by name, so files may have more or fewer; a missing one is null, as is a
+    value left out; "" is a text without characters. A quote in a quoted value is doubled. multiline: values may hold line breaks, as write_csv_by_recording writes
+    them; a quote that never closes then takes the rest of its file, not of its line.
     """
     wanted = T._parse_datatype_string(schema)
-    found = spark.read.option("header", True).csv(path)
+    found = spark.read.options(**READ_OPTIONS, multiLine=multiline).csv(path)
     columns = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
     return with_recording(found.select("*", "_metadata"), F.col("_metadata.file_path")).select("recording", "date", "image", *columns)
 
