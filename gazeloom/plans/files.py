@@ -47,15 +47,15 @@ PATTERNS = {v: k for k, v in S.PATTERN_CODES.items() if k != "3"}
 
 @REGISTRY.add("select distinct recording_id, ord, x, y, eye_movement_type as code from movement where recording_id is not null")
 def pattern_tsv_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled samples from tab-separated files with letters for the patterns, found at any depth."""
+    """Labelled samples from tab-separated files with letters for the patterns, found at any depth; a code without a letter is written as its number."""
     rows = read(spark, folder, "movement").select("recording_id", "ord", "x", "y", "eye_movement_type").distinct().where("recording_id is not null")
-    letters = rows.select(
-        "recording_id", F.lit("a file").alias("Filename"), "ord", F.col("x").alias("X_coord"), F.col("y").alias("Y_coord"), F.lit(1.0).alias("Confidence"), S.mapped(F.col("eye_movement_type"), PATTERNS).alias("Pattern")
-    )
+    code = F.col("eye_movement_type")
+    pattern = F.coalesce(S.mapped(code, PATTERNS), code.cast("string"))
+    letters = rows.select("recording_id", F.lit("a file").alias("Filename"), "ord", F.col("x").alias("X_coord"), F.col("y").alias("Y_coord"), F.lit(1.0).alias("Confidence"), pattern.alias("Pattern"))
     root = scratch_folder(spark)
     readers.write_csv_by_recording(letters, root, ["recording_id"], "\t")
-    found = readers.read_tsv(spark, root)
-    code = S.pattern_code(F.col("Pattern")).cast("int")
+    found = _read_back(lambda: readers.read_tsv(spark, root), "ord string, X_coord double, Y_coord double, Pattern string, parent string")
+    code = F.coalesce(S.pattern_code(F.col("Pattern")).cast("int"), F.col("Pattern").try_cast("int"))
     return found.select(_named("parent", "recording_id").alias("recording_id"), F.col("ord").cast("int").alias("ord"), F.col("X_coord").alias("x"), F.col("Y_coord").alias("y"), code.alias("code"))
 
 

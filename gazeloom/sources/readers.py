@@ -48,8 +48,7 @@ def read_gaze_csv(spark: SparkSession, path: str, schema: str = GAZE_SCHEMA, mul
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated training files, without the column Filename if they have it; parent is the folder's name."""
     rows = spark.read.option("header", True).option("sep", "\t").option("recursiveFileLookup", True).csv(path)
-    parent = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    rows = rows.withColumn("parent", parent).drop("Filename")
+    rows = rows.withColumn("parent", _part(F.col("_metadata.file_path"), 2)).drop("Filename")
     numbers = [c for c in ("X_coord", "Y_coord", "Confidence") if c in rows.columns]
     return rows.withColumns({c: F.col(c).try_cast("double") for c in numbers})
 

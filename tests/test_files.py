@@ -38,3 +38,17 @@ GAZE_ROWS = {
 @pytest.mark.parametrize("case", GAZE_ROWS)
 def test_gaze_csv_files_on_odd_rows(spark, tmp_path, case):
     agrees(spark, tmp_path, "gaze_csv_files", "gaze", GAZE, GAZE_ROWS[case])
+
+
+MOVEMENT = pa.schema([("recording_id", pa.int64()), ("ord", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("eye_movement_type", pa.int32())])
+MOVEMENT_ROWS = {
+    "numbers": [(1, i, v, w, 0) for i, v in enumerate(VALUES) for w in VALUES],
+    "codes": [(1, i, 1.0, 2.0, c) for i, c in enumerate((None, 0, 1, 2, 3, 4, -1, 2**31 - 1))],
+    "ids": [(r, o, 1.0, 2.0, 1) for r in (None, -5, 0, 2**63 - 1, -(2**63)) for o in (None, -1, 0, 7)],
+    "none": [],
+}
+
+
+@pytest.mark.parametrize("case", MOVEMENT_ROWS)
+def test_pattern_tsv_files_on_odd_rows(spark, tmp_path, case):
+    agrees(spark, tmp_path, "pattern_tsv_files", "movement", MOVEMENT, MOVEMENT_ROWS[case])
